@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import packing, sharding, token_counts, token_store, url_filter
+from recordloom.llm import (
+    decontaminate,
+    embedding_dedup,
+    near_dup,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    token_store,
+    url_filter,
+)
 from recordloom.llm.common import new_path, read_table
 
 
@@ -24,6 +34,15 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, out)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.contained_items(docs, items, words=5, percent=80)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), 8)
 
@@ -32,6 +51,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 1, 2048)
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.score(docs, labels, threshold=0.7)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
@@ -39,8 +67,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op8_near_dup": op8_near_dup,
+    "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
 }
 
