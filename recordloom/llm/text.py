@@ -7,6 +7,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -31,77 +32,118 @@ def load_tokenizer(path: str):
     return found
 
 
-class ChunkEncoder:
-    """Encodes whole texts chunk by chunk and remembers the chunks' ids.
+#: How the two kinds of vocabulary cut a text into pre-tokens.
+PRE_TOKEN = {
+    "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "word": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
 
-    Splitting at ``chunk`` must not change the tokenizer's result; that holds
-    for the kinds below. Chunks not met before are encoded by the tokenizer in
-    one joined text where that is safe, and cut apart by the tokens' byte
-    lengths; where the cut points don't fall on token ends, and for all other
-    chunks, each is encoded by itself. The memory is emptied when it holds
-    ``limit`` chunks, so it stays bounded.
+#: Chunks whose pre-tokens are found here: their characters have been classed
+#: alike by all Unicode versions since 5.0 and, for words, are lower-cased one
+#: for one. All other chunks go through the tokenizer as they are.
+PLAIN = {
+    "byte": regex.compile(r"[\x00-\u02ff\u1e00-\u1e9f\u2000-\u206e\u4e00-\u9fa5\uac00-\ud7a3]*"),
+    "word": regex.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"),
+}
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte, by number."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Bounded(dict):
+    """A memory of at most about twice ``limit`` entries.
+
+    When ``limit`` is reached, the entries become the old generation; old ones
+    that are asked for again move to the new one, the others are forgotten.
+    """
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+        self.old: dict = {}
+
+    def keep(self, key, value):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Merger:
+    """Token numbers of one pre-token by the vocabulary's merges."""
+
+    def __init__(self, tokenizer):
+        self.merge, self.letters = tokenizer.model.tokenize, byte_letters()
+        self.space = self.letters[0x20]
+
+    def __call__(self, piece: str) -> list:
+        if piece.isascii() and piece.isprintable():
+            return self.merge(piece.replace(" ", self.space))
+        return self.merge(piece.encode().decode("latin-1").translate(self.letters))
+
+
+class _Pieces(Bounded):
+    """Ids of single pre-tokens as bytes."""
+
+    def __init__(self, tokenizer, ids: list[bytes], limit: int):
+        super().__init__(limit)
+        self.merge, self.ids = Merger(tokenizer), ids
+
+    def __missing__(self, piece: str) -> bytes:
+        if (found := self.old.get(piece)) is None:
+            ids = self.ids
+            found = b"".join([ids[t.id] for t in self.merge(piece)])
+        return self.keep(piece, found)
+
+
+class ChunkEncoder(Bounded):
+    """Encodes whole texts chunk by chunk and remembers chunks and pre-tokens.
+
+    Cutting a text into chunks doesn't change its ids for the kinds below. A
+    plain chunk is cut into pre-tokens here, and the tokenizer's model merges
+    each new one; any other chunk is encoded by the tokenizer as a text.
 
     ``byte``: byte-level vocabularies whose pre-tokens take one leading space.
-    ``word``: vocabularies that lower-case and drop white space.
+    ``word``: byte-level ones with word ends that lower-case and drop white space.
     """
 
-    KINDS = {
-        "byte": (LEADING_SPACE_CHUNK, rf" [^{WHITE_SPACE}]+", ""),
-        "word": (BARE_CHUNK, r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", " "),
-    }
+    CHUNK = {"byte": LEADING_SPACE_CHUNK, "word": BARE_CHUNK}
 
-    def __init__(self, path: str, kind: str, limit: int = 500_000):
-        chunk, joinable, self.glue = self.KINDS[kind]
+    def __init__(self, path: str, kind: str, limit: int = 300_000):
+        super().__init__(limit)
         self.tokenizer = load_tokenizer(path)
-        self.split = re.compile(chunk).findall
-        self.joinable = re.compile(joinable).fullmatch
-        self.limit = limit
-        added = self.tokenizer.get_added_tokens_decoder()
+        self.split = re.compile(self.CHUNK[kind]).findall
+        self.plain = PLAIN[kind].fullmatch
+        self.cut = regex.compile(PRE_TOKEN[kind]).findall
+        self.lower = kind == "word"
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or r"(?!)").search
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u4" if size > 0xFFFF else "<u2")
-        self.lengths = np.zeros(size, np.int64)
-        for entry, number in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.lengths[number] = len(entry.removesuffix("</w>") if kind == "word" else entry)
-        for number, token in added.items():
-            self.lengths[number] = len(token.content.encode())
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        alone = [c for c in chunks if not self.joinable(c)]
-        joined = [c for c in chunks if self.joinable(c)] if alone else chunks
-        for lo in range(0, len(joined), 2048):
-            part = joined[lo : lo + 2048]
-            ids = np.array(self._ids([self.glue.join(part)])[0], self.dtype)
-            ends = np.cumsum([len(c.encode()) for c in part])
-            reached = np.cumsum(self.lengths[ids])
-            cut = np.searchsorted(reached, ends)
-            if len(ids) and reached[-1] == ends[-1] and (reached[cut] == ends).all():
-                data, width, at = ids.tobytes(), self.dtype.itemsize, 0
-                for text, end in zip(part, ((cut + 1) * width).tolist()):
-                    self.known[text] = data[at:end]
-                    at = end
+        numbers = [k.to_bytes(self.dtype.itemsize, "little") for k in range(size)]
+        self.pieces = _Pieces(self.tokenizer, numbers, limit)
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (found := self.old.get(chunk)) is None:
+            if self.plain(chunk) and not self.special(chunk):
+                text = chunk.lower() if self.lower else chunk
+                if (text[1:] if text[0] == " " else text).isalpha():  # one pre-token
+                    found = self.pieces[text]
+                else:
+                    found = b"".join(map(self.pieces.__getitem__, self.cut(text)))
             else:
-                alone += part
-        for text, ids in zip(alone, self._ids(alone) if alone else []):
-            self.known[text] = np.array(ids, self.dtype).tobytes()
+                ids = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
+                found = np.array(ids, self.dtype).tobytes()
+        return self.keep(chunk, found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text; null counts as empty."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 512):
-            split = [self.split(t) if t else [] for t in texts[at : at + 512]]
-            wanted = set().union(*split)
-            fresh = list(wanted.difference(self.known))
-            if len(self.known) + len(fresh) > self.limit:
-                self.known.clear()
-                fresh = list(wanted)
-            if fresh:
-                self._learn(fresh)
-            out += [b"".join(map(self.known.__getitem__, s)) for s in split]
-        return out
+        return [b"".join(map(self.__getitem__, self.split(t))) if t else b"" for t in texts]
 
 
 @lru_cache(maxsize=2)

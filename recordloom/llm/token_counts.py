@@ -16,15 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.text import load_tokenizer
-
-#: The contractions and classes by which byte-level vocabularies split.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-#: Blocks whose letters and numbers every Unicode version since 5.0 classes alike.
-#: Other texts are split by the tokenizer itself.
-SETTLED = regex.compile(r"[\x00-˿Ḁ-ẟ -⁮一-龥가-힣]*")
-
+from recordloom.llm.text import PLAIN, PRE_TOKEN, Bounded, Merger, load_tokenizer
 
 def whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that encode, alone, as one token which is their own.
@@ -43,32 +35,35 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, n, e in zip(strings, ids, found) if e.ids == [n])
 
 
-class _Cost(dict):
-    """Tokens of a pre-token: 1 for the proven ones, the merges' count for the rest."""
+class _Cost(Bounded):
+    """Tokens of a pre-token: 1 for the proven ones, the merges' count for the rest.
+
+    Pre-tokens that had to be merged are remembered, in bounded number.
+    """
 
-    def __init__(self, path: str, proven: frozenset[str], limit: int = 400_000):
-        super().__init__(dict.fromkeys(proven, 1))
-        self.base, self.limit = proven, limit + len(proven)
+    def __init__(self, path: str, proven: frozenset[str], limit: int = 300_000):
+        super().__init__(limit + len(proven))
+        self.proven = proven
+        self.update(dict.fromkeys(proven, 1))
         self.tokenizer = load_tokenizer(path)
-        self.added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.added) or r"(?!)")
-        self.split = regex.compile(PRE_TOKEN).findall
+        self.merge = Merger(self.tokenizer)
+        added = [regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(added) or r"(?!)")
+        self.plain = PLAIN["byte"].fullmatch
+        self.split = regex.compile(PRE_TOKEN["byte"]).findall
 
     def __missing__(self, piece: str) -> int:
-        count = len(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids)
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(dict.fromkeys(self.base, 1))
-        self[piece] = count
-        return count
+        if (count := self.old.get(piece)) is None:
+            count = 1 if piece in self.proven else len(self.merge(piece))
+        return self.keep(piece, count)
 
     def tokens(self, text: str | None) -> int:
         if not text:
             return 0
-        if "<|" in text and self.special.search(text):
+        if self.special.search(text):
             parts = self.special.split(text)
             return len(parts) - 1 + sum(map(self.tokens, parts))
-        if not SETTLED.fullmatch(text):
+        if not self.plain(text):
             return len(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
         return sum(map(self.__getitem__, self.split(text)))
 
@@ -78,7 +73,7 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document: its id, ``n_bytes``, ``n_tokens`` and ``over_limit``.
 
-    The tokenizer must be a byte-level one whose added tokens contain ``<|``.
+    The tokenizer must be a byte-level one.
     No begin, end or padding tokens are added; an added token's string inside a
     text is one token, the library's default. Rows map to rows, with no shuffle.
 
