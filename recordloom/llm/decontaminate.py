@@ -79,6 +79,29 @@ class ItemIndex:
         return out
 
 
+def _item_blocks(items: DataFrame, words: int, percent: int) -> Iterator:
+    """Broadcast indexes of about ``ITEM_BLOCK`` shingles each, one after another."""
+    spark = items.sparkSession
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())],
+                ["item_id", "n", "values"],
+            )
+
+    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    known = stored(wanted.distinct().mapInArrow(sets, "item_id long, n long, values binary").filter("n > 0"), "items")
+    blocks = math.ceil((known.agg(F.sum("n")).first()[0] or 0) / ITEM_BLOCK)
+    for k in range(blocks):
+        rows = known.filter(F.pmod(F.xxhash64("item_id", "values"), F.lit(blocks)) == k).collect()
+        pairs = [(r["item_id"], np.frombuffer(bytes(r["values"]), np.uint64)) for r in rows]
+        if pairs:
+            pairs.sort(key=lambda p: (p[0] is None, p[0] or 0, p[1].tobytes()))
+            yield spark.sparkContext.broadcast(ItemIndex(pairs, percent))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Pairs of a document and a test item in it: ``doc_id``, ``item_id``, ``item_shingles``, ``shared``.
 
@@ -91,29 +114,10 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
     An empty table on either side gives an empty result; other columns are
     ignored. Documents are read once for each block of items, without a shuffle.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())],
-                ["item_id", "n", "values"],
-            )
-
-    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    known = stored(wanted.distinct().mapInArrow(sets, "item_id long, n long, values binary").filter("n > 0"), "items")
-    total = known.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, math.ceil(total / ITEM_BLOCK))
     schema = "doc_id long, item_id long, item_shingles long, shared long"
-    out = spark.createDataFrame([], schema)
-    for k in range(blocks if total else 0):
-        rows = known.filter(F.pmod(F.xxhash64("item_id", "values"), F.lit(blocks)) == k).collect()  # about ITEM_BLOCK shingles
-        if not rows:
-            continue
-        pairs = sorted(((r["item_id"], np.frombuffer(bytes(r["values"]), np.uint64)) for r in rows), key=lambda p: (p[0] is None, p[0] or 0))
-        index = spark.sparkContext.broadcast(ItemIndex(pairs, percent))
+    out = docs.sparkSession.createDataFrame([], schema)
+    for index in _item_blocks(items, words, percent):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -127,12 +131,22 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
                     [pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "item_shingles", "shared"]
                 )
 
-        part = docs.mapInArrow(search, schema)
-        out = part if k == 0 else out.union(part)
+        out = out.union(docs.mapInArrow(search, schema))
     return out
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that contain a test item; all columns stay."""
-    bad = stored(contained_items(docs, items, words, percent).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """``docs`` without the documents that contain a test item; all columns stay.
+
+    Rows are dropped where they are read: nothing is joined or shuffled.
+    """
+    at = docs.columns.index("text")
+    for index in _item_blocks(items, words, percent):
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [not index.value.found(shingles(t, words)) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

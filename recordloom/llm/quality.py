@@ -95,6 +95,10 @@ class Model:
             return np.full(len(table), self.offset)
         return self.weights[self.bins(table)].sum(axis=1) + self.offset
 
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        table = np.array([describe(t) for t in texts], float).reshape(len(texts), len(FEATURES))
+        return 1 / (1 + np.exp(-np.clip(self.raw(table), -30, 30)))
+
     def fit(self, good: np.ndarray, mixed: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, keep: float = 1e-4):
         """Minimise the non-negative risk by Adam; where its second term is negative, step back on it."""
         places = np.concatenate([self.bins(good), self.bins(mixed)])
@@ -193,11 +197,25 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, positives:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            table = np.array([describe(t) for t in texts], float).reshape(len(texts), len(FEATURES))
-            raw = np.clip(model.value.raw(table), -30, 30)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(1 / (1 + np.exp(-raw)))], ["doc_id", "held_out", "score"])
+            scores = model.value.scores(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores)], ["doc_id", "held_out", "score"])
 
     scored = docs.select("doc_id", held_out(FOLDS, HELD).alias("held_out"), "text")
     scored = scored.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.7, positives: int = 6_000, unlabelled: int = 12_000
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`score` predicts as 1, with all columns; no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(
+        train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, positives, unlabelled)
+    )
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.value.scores(batch.column(at).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -13,6 +13,7 @@ from recordloom.llm import (
     sharding,
     token_counts,
     token_store,
+    toxicity,
     url_filter,
 )
 from recordloom.llm.common import new_path, read_table
@@ -51,6 +52,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 1, 2048)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.score(docs, labels, threshold=0.5)
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_near_dup": op8_near_dup,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
