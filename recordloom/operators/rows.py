@@ -177,16 +177,11 @@ STRFTIME = {
 
 def datetime_pattern(text: str) -> str:
     """A Spark datetime pattern for a strftime format."""
-    out, at = "", 0
-    while at < len(text):
-        letter = text[at + 1] if text[at] == "%" and at + 1 < len(text) else ""
-        if letter:
-            out += STRFTIME.get(letter, "'%'" if letter == "%" else "")
-            at += 2
-        else:
-            out += f"'{text[at]}'" if text[at].isalpha() else text[at]
-            at += 1
-    return out
+    made = []
+    for letter, plain in re.findall(r"%(.)|([^%]+)", text):
+        literal = "%" if letter == "%" else plain
+        made.append(re.sub(r"([A-Za-z%']+(?: +[A-Za-z%']+)*)", lambda m: "'" + m[1].replace("'", "''") + "'", literal) if literal else STRFTIME.get(letter, ""))
+    return "".join(made)
 
 
 def parse_date(

@@ -185,9 +185,9 @@ def parse_multi_re(
         for frame in frames:
             made: list[dict] = []
 
-            def emit(closing: bool) -> None:
+            def emit() -> None:
                 nonlocal held
-                if set(held) - set(keep if not closing else ()):
+                if set(held) - set(keep):
                     made.append(dict(zip(group, at)) | held)
                 held = dict(held) if keep_all else {k: v for k, v in held.items() if k in keep}
 
@@ -195,22 +195,22 @@ def parse_multi_re(
                 place = tuple(getattr(row, f"g{k}") for k in range(len(group)))
                 if place != at:
                     if at is not None and held and not clobber:
-                        emit(True)
+                        emit()
                     at, held = place, {}
                 for pattern, names, role in compiled:
                     if found := pattern.search(row.value):
                         if "pre" in role and held:
-                            emit(False)
+                            emit()
                         given = [*names, *map(str, range(len(names), pattern.groups))][: pattern.groups]
                         new = {n: v for n, v in zip(given, found.groups()) if v is not None}
                         if not clobber and set(new) & (set(held) - set(keep)):
-                            emit(False)
+                            emit()
                         held |= new
                         if "post" in role:
-                            emit(False)
-            yield pd.DataFrame(made, columns=[*group, *fields])
-        if at is not None and held and not clobber:
-            yield pd.DataFrame([dict(zip(group, at)) | held], columns=[*group, *fields])
+                            emit()
+            yield pd.DataFrame(made, columns=[*group, *fields], dtype=object)
+        if set(held) - set(keep) and not clobber:
+            yield pd.DataFrame([dict(zip(group, at)) | held], columns=[*group, *fields], dtype=object)
 
     kinds = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in group)
     rows = lines.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, *order)
