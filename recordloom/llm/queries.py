@@ -67,7 +67,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+    return url_filter.judge(read_table(spark, sf_dir, "pages")).drop("distrust_share")
 
 
 QUERIES = {
@@ -83,4 +83,71 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles(table: str, key: str, size: int) -> str:
+    """DuckDB query of a table's distinct (id, shingle) rows."""
+    runs = f"list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' '))"
+    return f"""SELECT DISTINCT id, unnest(CASE WHEN len(w) >= {size} THEN {runs} WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM (SELECT {key} AS id, regexp_extract_all(coalesce({_LOW}, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {table})"""
+
+
+_REACH = """reach AS (SELECT id, id AS root FROM nodes UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+part AS (SELECT id, min(root) AS component_id FROM reach GROUP BY 1)"""
+
+
+def _url_sql(rounds: int = 10, damping: float = 0.85) -> str:
+    """The same walk with one common table expression a round."""
+    upper, lower = url_filter.UPPER, url_filter.LOWER
+    fits = []
+    for rule in sorted(url_filter.RULES, key=lambda r: (-len(r.text), r.verdict != "block", r.text)):
+        test = f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
+        fits.append((test, rule))
+    case = lambda of: "CASE " + " ".join(f"WHEN {t} THEN '{of(r)}'" for t, r in fits) + " END"
+    href = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^/?#"''\s>]+)"""
+    host = lambda c: f"translate(regexp_extract({c}, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}')"
+    steps = ["r0 AS (SELECT host, t0 AS t, d0 AS d FROM seeds)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"""s{k} AS (SELECT dst AS host, sum(CASE WHEN forward THEN p * t END) AS t, sum(CASE WHEN NOT forward THEN p * d END) AS d
+        FROM flow JOIN r{k - 1} ON src = host GROUP BY dst),
+        r{k} AS (SELECT host, t0 * {1 - damping} + coalesce(t, 0) * {damping} AS t, d0 * {1 - damping} + coalesce(d, 0) * {damping} AS d
+        FROM seeds LEFT JOIN s{k} USING (host))""")
+    return f"""WITH parts AS (SELECT page_id, coalesce({host("url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+    ruled AS (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruling FROM parts),
+    hosts AS (SELECT host, count(*) FILTER (WHERE ruling = 'allow') AS a, count(*) FILTER (WHERE ruling = 'block') AS b FROM ruled WHERE host <> '' GROUP BY 1),
+    links AS (SELECT host AS src, {host("link")} AS dst FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1)) AS link FROM parts)),
+    labels AS (SELECT host AS src, string_split(host, '.') AS l FROM hosts),
+    ups AS (SELECT src, k, array_to_string(l[k:], '.') AS dst FROM (SELECT src, l, unnest(range(2, len(l) + 1)) AS k FROM labels)),
+    up AS (SELECT src, arg_min(dst, k) AS dst FROM ups WHERE dst IN (SELECT host FROM hosts) GROUP BY 1),
+    edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, count(*)::DOUBLE AS w FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2
+    UNION ALL SELECT src, dst, 1.0 FROM up UNION ALL SELECT dst, src, 1.0 FROM up) GROUP BY 1, 2),
+    every AS (SELECT host, sum(a) AS a, sum(b) AS b FROM (SELECT * FROM hosts UNION ALL SELECT src, 0, 0 FROM edges UNION ALL SELECT dst, 0, 0 FROM edges) GROUP BY 1),
+    seeds AS (SELECT host, coalesce(a / nullif(sum(a) OVER (), 0), 0) AS t0, coalesce(b / nullif(sum(b) OVER (), 0), 0) AS d0 FROM every),
+    directed AS (SELECT src, dst, w, true AS forward FROM edges UNION ALL SELECT dst, src, w, false FROM edges),
+    flow AS (SELECT src, dst, forward, w / sum(w) OVER (PARTITION BY src, forward) AS p FROM directed),
+    {", ".join(steps)}
+    SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN round(d / nullif(t + d, 0), 9) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM ruled LEFT JOIN r{rounds} USING (host)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    nodes AS (SELECT id FROM v),
+    links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id <> y.id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+    {_REACH},
+    n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY 1)
+    SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM part LEFT JOIN n USING (id)""",
+    "op4_decontaminate": f"""WITH d AS ({_shingles("documents", "doc_id", 5)}), i AS ({_shingles("benchmark", "item_id", 5)}),
+    n AS (SELECT id, count(*) AS n FROM i GROUP BY 1)
+    SELECT d.id AS doc_id, i.id AS item_id, any_value(n.n) AS item_shingles, count(*) AS shared
+    FROM d JOIN i USING (s) JOIN n ON n.id = i.id GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(n.n)""",
+    "op8_near_dup": f"""WITH RECURSIVE s AS MATERIALIZED ({_shingles("documents", "doc_id", 3)}), nodes AS (SELECT doc_id AS id FROM documents),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+    pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+    near AS (SELECT a, b FROM pairs JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+    links AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+    {_REACH}
+    SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM part LEFT JOIN n USING (id)""",
+    "op10_url_filter": _url_sql(),
+}

@@ -196,7 +196,7 @@ def judge(
     ranks = propagate(every, edges, damping, rounds)
     share = F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust"))
     scores = stored(ranks.select("host", share.alias("distrust_share")), "url-scores")
-    bad = F.coalesce(F.col("distrust_share") > threshold, F.lit(False))
+    bad = F.coalesce(F.round("distrust_share", 9) > threshold, F.lit(False))  # rounded: sums come in any order
     return ruled.select("page_id", "host", "path", "rule", "ruling").join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruling", F.when(bad, "block").otherwise("allow")).alias("verdict"),
