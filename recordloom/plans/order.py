@@ -96,3 +96,11 @@ def changed(columns: list[Column], over) -> Column:
     """True where any value differs from the row before, and on the first row."""
     differs = [~c.eqNullSafe(F.lag(c).over(over)) for c in columns]
     return reduce(lambda a, b: a | b, differs, F.lag(F.lit(1)).over(over).isNull())
+
+
+def placed(ordered: DataFrame) -> DataFrame:
+    """Number the rows of a sorted frame in ``_place``, increasing along its order but not gapless.
+
+    A sorted frame's partitions lie in order, and ids grow along partitions and rows.
+    """
+    return ordered.drop(PLACE).withColumn(PLACE, F.monotonically_increasing_id())

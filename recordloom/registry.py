@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.flow import Flow
 from recordloom.functions import domain
 from recordloom.functions.coerce import text
 from recordloom.functions.keys import kind_of
@@ -15,6 +16,7 @@ from recordloom.operators import join as J
 from recordloom.operators import ordering as O
 from recordloom.operators import reshape as S
 from recordloom.operators import rows as R
+from recordloom.operators.profile import profile
 from recordloom.sinks import writers
 from recordloom.sources import lines as L
 from recordloom.streaming import events as E
@@ -571,4 +573,21 @@ def sessions_batch(spark, sf_dir):
     return out.select("user_id", "start", "n")
 
 
+# --- fluent form and field profile ------------------------------------------------------------------
+
+
+@query("""SELECT 'c_mktsegment' AS field, count(*) AS records, count(c_mktsegment) / count(*) AS filled, min(c_mktsegment) AS example FROM customer
+UNION ALL SELECT 'c_name', count(*), count(c_name) / count(*), min(c_name) FROM customer""")
+def profile_fields(spark, sf_dir):
+    return profile(table(spark, sf_dir, "customer").select("c_mktsegment", "c_name")).select("field", "records", "filled", "example")
+
+
+@query("""SELECT event_type, count(*) AS count, round(sum(value), 4) AS total, arg_min(event_id, (-value, event_id)) AS top_id
+FROM events WHERE value < 90 GROUP BY 1""")
+def fluent_chain(spark, sf_dir):
+    flow = Flow(table(spark, sf_dir, "events"), ("event_id",)).grep("{{value}} < 90").sort("value=-n")
+    out = flow.collate(["event_type"], ["count", "total=sum,value", "top_id=first,event_id"])
+    return rounded(out.df, "total")
+
+
 FLAGSHIP = flagship
