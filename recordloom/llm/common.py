@@ -63,7 +63,7 @@ def quantile_bounds(df: DataFrame, key: str, parts: int) -> list:
     if parts < 2:
         return []
     wanted = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(key, wanted, 10_000).alias("q")).first()
+    row = df.agg(F.percentile_approx(key, wanted, max(10_000, 10 * parts)).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 

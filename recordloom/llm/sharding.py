@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.common import bucket_of, quantile_bounds, shuffle_parts, stored
 
-#: Hexadecimal digits by which a range is split further in one look.
-STEP = 4
+#: Hexadecimal digits of the digest that the first look tells apart, and by which later looks split a range.
+FIRST, FINER = 4, 2
+#: Ranges that one later look splits at most; the next look takes the rest.
+AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -77,31 +79,27 @@ def _doubtful(runs: list[Run], shards: int) -> list[int]:
     return sorted(found)
 
 
-def find_cuts(groups: DataFrame, shards: int, most: int = 65_536) -> tuple[list[str], int]:
+def find_cuts(groups: DataFrame, shards: int) -> tuple[list[str], int]:
     """First digests of shards 1, 2, … and the capacity, from ``groups(digest, bytes)``.
 
-    A look returns at most ``most`` ranges for each range it splits.
+    The first look returns at most 16 ** ``FIRST`` sums, a later one at most
+    ``AT_ONCE`` * 16 ** ``FINER``, however many groups there are.
     """
-    digits = STEP
 
     def look(rows: DataFrame, digits: int) -> list[Run]:
-        prefix = F.substring("digest", 1, digits)
-        summed = rows.groupBy(prefix.alias("prefix")).agg(
+        summed = rows.groupBy(F.substring("digest", 1, digits).alias("prefix")).agg(
             F.sum("bytes").alias("size"), F.count(F.lit(1)).alias("n"), F.min("digest").alias("first")
         )
-        return [
-            Run(r["first"] if r["n"] == 1 else r["prefix"], r["size"], r["n"] == 1)
-            for r in summed.orderBy("prefix").limit(most * 64).collect()
-        ]
+        found = sorted(summed.collect(), key=lambda r: r["prefix"])
+        return [Run(r["first"] if r["n"] == 1 else r["prefix"], r["size"], r["n"] == 1) for r in found]
 
-    runs = look(groups, digits)
+    runs = look(groups, FIRST)
     while doubtful := _doubtful(runs, shards):
-        near = [runs[k].prefix for k in doubtful]
-        digits = min(len(p) for p in near) + STEP
-        near = [p for p in near if len(p) == digits - STEP][:64]
+        digits = min(len(runs[k].prefix) for k in doubtful)
+        near = [runs[k].prefix for k in doubtful if len(runs[k].prefix) == digits][:AT_ONCE]
         finer: dict[str, list[Run]] = {p: [] for p in near}
-        for run in look(groups.filter(F.substring("digest", 1, digits - STEP).isin(near)), digits):
-            finer[run.prefix[: digits - STEP]].append(run)
+        for run in look(groups.filter(F.substring("digest", 1, digits).isin(near)), digits + FINER):
+            finer[run.prefix[:digits]].append(run)
         runs = [x for r in runs for x in (finer[r.prefix] if not r.whole and r.prefix in finer else [r])]
     capacity = smallest_capacity(runs, shards) if runs else 0
     ends = greedy(runs, capacity) if runs else []

@@ -31,7 +31,9 @@ def test_capacity_is_the_smallest():
 
 
 def test_cuts_found_range_by_range_are_the_best(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "STEP", 1)  # sixteen ranges at a look, so several looks are needed
+    for name in ("FIRST", "FINER"):
+        monkeypatch.setattr(sharding, name, 1)  # sixteen ranges at a look, so several looks are needed
+    monkeypatch.setattr(sharding, "AT_ONCE", 3)
     rng = random.Random(3)
     sizes = {f"{rng.getrandbits(128):032x}": rng.choice([1, 5, 9, 400]) for _ in range(300)}
     groups = spark.createDataFrame(list(sizes.items()), "digest string, bytes long")
