@@ -21,7 +21,13 @@ def _condition(df: DataFrame, snippet: str | Column) -> Column:
 
 
 def grep(df: DataFrame, condition: str | Column, invert: bool = False) -> DataFrame:
-    """Records whose condition is truthy, or the others."""
+    """Records whose condition is truthy, or the others.
+
+    A boolean condition stays as it is, so that it reaches the scan.
+    """
+    column = expression(df, condition)
+    if not invert and isinstance(df.select(column).schema[0].dataType, T.BooleanType):
+        return df.filter(column)
     met = _condition(df, condition)
     return df.filter(~met if invert else met)
 

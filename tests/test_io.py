@@ -134,11 +134,18 @@ def test_text_sinks(small, tmp_path):
 
 
 def test_pictures(small):
-    shown = render.table(small, ["foo"], ["foo,zoo"])
-    assert shown.splitlines() == ["foo  zoo", "---  -----", "1    biz", '2    q"u,o', "3"]
-    assert render.table(small.withColumn("k", F.lit("same")), ["foo"], ["k"], clear=True).splitlines()[2:] == ["same", "", ""]
-    assert "m = HASH:\n   a = 1" in render.pretty(small, ["foo"], 1)
+    shown = render.table(small, ["foo"], ["zoo,foo"])
+    assert shown == "zoo     foo\n-----   ---\nbiz     1  \nq\"u,o   2  \n        3  \n"
+    assert render.table(small, ["foo"], ["foo,zoo"], spreadsheet=True, delimiter="t").splitlines()[:2] == ["footzoo", "1tbiz"]
+    assert render.table(small.limit(0), ["foo"]) == ""
+    same = small.withColumn("k", F.lit("s")).withColumn("j", F.col("foo") > 2)
+    assert [x.strip() for x in render.table(same, ["foo"], ["k,j"], header=False, clear=True).splitlines()] == ["s   false", "", "true"]
+    assert render.pretty(small.select("foo", "zoo", "m"), ["foo"], 1) == "-" * 70 + '\nfoo = 1\nm = HASH:\n   a = 1\nzoo = "biz"\n'
+    assert "m = EMPTY HASH" in render.pretty(small, ["foo"]) and 'm = {"a":1}' in render.pretty(small, ["foo"], 1, nested=False)
+    page = "<table>\n  <tr>\n    <th>foo</th>\n  </tr>\n  <tr>\n    <td>1</td>\n  </tr>\n</table>\n"
+    assert render.html(small.limit(1), ["foo"], ["foo"]) == page
     assert "<td>q&quot;u,o</td>" in render.html(small, ["foo"], ["zoo"])
+    assert render.grid(small.select("foo", "zoo").limit(1), ["foo"]) == "+---+---+\n|foo|zoo|\n+---+---+\n|1  |biz|\n+---+---+\n"
     assert render.chart(small, ["foo"], "x", "foo", size=10).splitlines() == ["1 │████ 1", "2 │ 0", "3 │██████████ 2.5"]
     assert render.chart(small, ["foo"], "x", kind="sparkline") == "▄▁█\n"
     assert render.gnuplot(small, ["foo"], ["foo", "x"])[1].endswith("plot 'data' using 2 with points title 'x'\n")

@@ -34,6 +34,18 @@ def test_grep(count):
     assert ids(R.grep_context(count, "x in (10, 12)", ["x"], before=2, after=1)) == [8, 9, 10, 11, 12, 13]
 
 
+def test_conditions_reach_the_scan(spark, capsys):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    R.grep(lines, "{{l_quantity}} > 49").select("l_orderkey").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThan(l_quantity,49.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_no_window_sees_all_rows(count, capsys):
+    O.delta(count, ["x"], ["x"]).explain("formatted")
+    assert "SinglePartition" not in capsys.readouterr().out
+
+
 def test_neighbours(count):
     got = {r["x"]: ([b["x"] for b in r["B"]], [a["x"] for a in r["A"]]) for r in R.xform_neighbours(count, ["x"], 2, 1).collect()}
     assert got[1] == ([], [2]) and got[5] == ([4, 3], [6]) and got[40] == ([39, 38], [])
