@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.common import stored
 from recordloom.llm.shingles import mix, shingles
+from recordloom.llm.text import texts_of
 
 #: Item shingles that are sent to the tasks at once (8 MB); more items go in more passes.
 ITEM_BLOCK = 1_000_000
@@ -85,7 +86,7 @@ def _item_blocks(items: DataFrame, words: int, percent: int) -> Iterator:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            values = [shingles(t, words) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())],
                 ["item_id", "n", "values"],
@@ -123,7 +124,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
             for batch in batches:
                 found = [
                     (doc, *pair)
-                    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                    for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)))
                     for pair in index.value.found(shingles(text, words))
                 ]
                 columns = list(zip(*found)) or [()] * 4
@@ -145,7 +146,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: i
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [not index.value.found(shingles(t, words)) for t in batch.column(at).to_pylist()]
+                keep = [not index.value.found(shingles(t, words)) for t in texts_of(batch.column(at))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import stored
-from recordloom.llm.text import chunk_encoder
+from recordloom.llm.text import chunk_encoder, texts_of
 
 
 def encode_in_place(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "byte") -> DataFrame:
@@ -30,7 +30,7 @@ def encode_in_place(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str
         end = np.array([end_id], encoder.dtype).tobytes()
         before = 0
         for batch in batches:
-            ids = [x + end for x in encoder.encode(batch.column(2).to_pylist())]
+            ids = [x + end for x in encoder.encode(texts_of(batch.column(2)))]
             counts = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
             places = before + np.cumsum(counts) - counts
             before += int(counts.sum())

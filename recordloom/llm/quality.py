@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.text import texts_of
+
 BINS = 10
 FOLDS, HELD = 4, 2
 
@@ -95,8 +97,8 @@ class Model:
             return np.full(len(table), self.offset)
         return self.weights[self.bins(table)].sum(axis=1) + self.offset
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        table = np.array([describe(t) for t in texts], float).reshape(len(texts), len(FEATURES))
+    def scores(self, column: pa.Array) -> np.ndarray:
+        table = np.array([describe(t) for t in texts_of(column)], float).reshape(len(column), len(FEATURES))
         return 1 / (1 + np.exp(-np.clip(self.raw(table), -30, 30)))
 
     def fit(self, good: np.ndarray, mixed: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, keep: float = 1e-4):
@@ -137,7 +139,7 @@ def estimate_prior(model: Model, good: np.ndarray, mixed: np.ndarray) -> float:
 def _described(docs: DataFrame, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [describe(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [describe(t) for t in texts_of(batch.column(batch.num_columns - 1))]
             table = pa.array(rows, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], table], [*batch.schema.names[:-1], "features"])
 
@@ -197,7 +199,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, positives:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = model.value.scores(batch.column(2).to_pylist())
+            scores = model.value.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores)], ["doc_id", "held_out", "score"])
 
     scored = docs.select("doc_id", held_out(FOLDS, HELD).alias("held_out"), "text")
@@ -216,6 +218,6 @@ def accepted(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.value.scores(batch.column(at).to_pylist()) >= threshold))
+            yield batch.filter(pa.array(model.value.scores(batch.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

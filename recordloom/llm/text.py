@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -18,8 +20,13 @@ WHITE_SPACE = "\\x09\\x0a\\x0b\\x0c\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u
 #: of a byte-level vocabulary crosses the start of such a chunk.
 LEADING_SPACE_CHUNK = rf"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+"
 
-#: A run without ASCII white space, for vocabularies that drop white space.
-BARE_CHUNK = r"[^\x09-\x0d\x20]+"
+_SEPARATORS = re.compile(r"[\x1c-\x1f]").search
+_BARE = re.compile(rf"[^{WHITE_SPACE}]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs without white space, for vocabularies that drop it; Python alone counts four separators as such."""
+    return _BARE(text) if _SEPARATORS(text) else text.split()
 
 
 @lru_cache(maxsize=4)
@@ -87,65 +94,58 @@ class Merger:
         return self.merge(piece.encode().decode("latin-1").translate(self.letters))
 
 
-class _Pieces(Bounded):
-    """Ids of single pre-tokens as bytes."""
-
-    def __init__(self, tokenizer, ids: list[bytes], limit: int):
-        super().__init__(limit)
-        self.merge, self.ids = Merger(tokenizer), ids
-
-    def __missing__(self, piece: str) -> bytes:
-        if (found := self.old.get(piece)) is None:
-            ids = self.ids
-            found = b"".join([ids[t.id] for t in self.merge(piece)])
-        return self.keep(piece, found)
-
-
 class ChunkEncoder(Bounded):
     """Encodes whole texts chunk by chunk and remembers chunks and pre-tokens.
 
     Cutting a text into chunks doesn't change its ids for the kinds below. A
     plain chunk is cut into pre-tokens here, and the tokenizer's model merges
-    each new one; any other chunk is encoded by the tokenizer as a text.
+    each new one; any other chunk is encoded by the tokenizer as a text. A
+    pre-token is a chunk too, so both share one memory.
 
     ``byte``: byte-level vocabularies whose pre-tokens take one leading space.
     ``word``: byte-level ones with word ends that lower-case and drop white space.
     """
 
-    CHUNK = {"byte": LEADING_SPACE_CHUNK, "word": BARE_CHUNK}
-
-    def __init__(self, path: str, kind: str, limit: int = 300_000):
+    def __init__(self, path: str, kind: str, limit: int = 250_000):
         super().__init__(limit)
         self.tokenizer = load_tokenizer(path)
-        self.split = re.compile(self.CHUNK[kind]).findall
+        self.split = words_of if kind == "word" else re.compile(LEADING_SPACE_CHUNK).findall
         self.plain = PLAIN[kind].fullmatch
         self.cut = regex.compile(PRE_TOKEN[kind]).findall
         self.lower = kind == "word"
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added) or r"(?!)").search
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(added)  # a chunk without it holds no added token
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u4" if size > 0xFFFF else "<u2")
-        numbers = [k.to_bytes(self.dtype.itemsize, "little") for k in range(size)]
-        self.pieces = _Pieces(self.tokenizer, numbers, limit)
+        self.merge = Merger(self.tokenizer)
+        self.numbers = [k.to_bytes(self.dtype.itemsize, "little") for k in range(size)]
 
     def __missing__(self, chunk: str) -> bytes:
         if (found := self.old.get(chunk)) is None:
-            if self.plain(chunk) and not self.special(chunk):
+            if (not self.mark or self.mark not in chunk) and self.plain(chunk):
                 text = chunk.lower() if self.lower else chunk
-                if (text[1:] if text[0] == " " else text).isalpha():  # one pre-token
-                    found = self.pieces[text]
+                one = (text[1:] if text[0] == " " else text).isalpha()
+                if one or len(pieces := self.cut(text)) == 1:
+                    numbers = self.numbers
+                    found = b"".join([numbers[t.id] for t in self.merge(text)])
                 else:
-                    found = b"".join(map(self.pieces.__getitem__, self.cut(text)))
+                    found = b"".join([self[p] for p in pieces])
             else:
                 ids = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
                 found = np.array(ids, self.dtype).tobytes()
         return self.keep(chunk, found)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian ids of each text; null counts as empty."""
         return [b"".join(map(self.__getitem__, self.split(t))) if t else b"" for t in texts]
 
 
+def texts_of(column: pa.Array, step: int = 256) -> Iterator[str | None]:
+    """Texts of an Arrow column, a few in memory at a time."""
+    for lo in range(0, len(column), step):
+        yield from column.slice(lo, step).to_pylist()
+
+
 @lru_cache(maxsize=2)
 def chunk_encoder(path: str, kind: str) -> ChunkEncoder:
     """One encoder in each Python worker, kept from task to task."""

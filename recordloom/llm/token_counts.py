@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.text import PLAIN, PRE_TOKEN, Bounded, Merger, load_tokenizer
+from recordloom.llm.text import PLAIN, PRE_TOKEN, Bounded, Merger, load_tokenizer, texts_of
 
 def whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that encode, alone, as one token which is their own.
@@ -41,7 +41,7 @@ class _Cost(Bounded):
     Pre-tokens that had to be merged are remembered, in bounded number.
     """
 
-    def __init__(self, path: str, proven: frozenset[str], limit: int = 300_000):
+    def __init__(self, path: str, proven: frozenset[str], limit: int = 200_000):
         super().__init__(limit + len(proven))
         self.proven = proven
         self.update(dict.fromkeys(proven, 1))
@@ -87,7 +87,7 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost = _Cost(tokenizer_path, proven.value)
         for batch in batches:
-            counts = [cost.tokens(t) for t in batch.column(2).to_pylist()]
+            counts = [cost.tokens(t) for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"]
             )

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import bucket_of, quantile_bounds, shuffle_parts
-from recordloom.llm.text import chunk_encoder
+from recordloom.llm.text import chunk_encoder, texts_of
 
 PACK_BYTES = 1 << 20
 
@@ -44,7 +44,7 @@ def _encoded(docs: DataFrame, path: str, kind: str, end_id: int, dictionary: byt
         end = np.array([end_id], encoder.dtype).tobytes()
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(shared.value))
         for batch in batches:
-            ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+            ids = [x + end for x in encoder.encode(texts_of(batch.column(1)))]
             counts = [len(x) // encoder.dtype.itemsize for x in ids]
             frames = pa.array([packer.compress(x) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -69,7 +69,7 @@ def _train(docs: DataFrame, path: str, kind: str, size: int, docs_most: int, doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = chunk_encoder(path, kind).encode(batch.column(0).to_pylist())
+            ids = chunk_encoder(path, kind).encode(texts_of(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     ids = sorted(bytes(r["ids"]) for r in sample.mapInArrow(run, "ids binary").limit(docs_most).collect())
@@ -126,8 +126,9 @@ def write_store(
         def made() -> pa.RecordBatch:
             ends = np.cumsum([len(f) for _, _, f in held]).tolist()
             counts = [n for _, n, _ in held]
+            known = [d for d, _, _ in held if d is not None]
             values = [
-                shard, number, held[0][0], held[-1][0], start, sum(counts), [d for d, _, _ in held], ends, counts,
+                shard, number, min(known, default=None), max(known, default=None), start, sum(counts), [d for d, _, _ in held], ends, counts,
                 digest, width, b"".join(f for _, _, f in held),
             ]
             return pa.RecordBatch.from_arrays(

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.common import stored
 from recordloom.llm.quality import held_out
-from recordloom.llm.text import Bounded
+from recordloom.llm.text import Bounded, texts_of
 
 FOLDS, HELD = 5, 0
 STEM = 5
@@ -50,7 +50,7 @@ class Vocabulary(Bounded):
     """Numbers of a word's terms that are in the vocabulary; remembers words in bounded number."""
 
     def __init__(self, terms: list[str]):
-        super().__init__(300_000)
+        super().__init__(100_000)
         self.number = {t: k for k, t in enumerate(terms)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
@@ -222,7 +222,7 @@ def fit(
         sums = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             rows += batch.num_rows
-            for text in batch.column(0).to_pylist():
+            for text in texts_of(batch.column(0)):
                 found = {t for hit in map(held.__getitem__, set(words_of(text))) for t in hit}
                 if found:
                     sums[list(found)] += 1
@@ -238,7 +238,7 @@ def fit(
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Vocabulary(shared.value)
         for batch in batches:
-            found = [held.counts(t) for t in batch.column(2).to_pylist()]
+            found = [held.counts(t) for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int64())),
                  pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
@@ -283,7 +283,7 @@ def score(
         terms, scorer = model.value
         held = Vocabulary(terms)
         for batch in batches:
-            found = [scorer.score(held.counts(t)) for t in batch.column(2).to_pylist()]
+            found = [scorer.score(held.counts(t)) for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))],
                 ["doc_id", "held_out", "score", "evidence"],
@@ -311,7 +311,7 @@ def accepted(
         terms, scorer = model.value
         held = Vocabulary(terms)
         for batch in batches:
-            keep = [scorer.score(held.counts(t))[0] < threshold for t in batch.column(at).to_pylist()]
+            keep = [scorer.score(held.counts(t))[0] < threshold for t in texts_of(batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
