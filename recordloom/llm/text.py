@@ -45,6 +45,9 @@ PRE_TOKEN = {
     "word": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
 
+#: Marks that end a pre-token of letters and are one themselves.
+SENTENCE_MARKS = (".", ",", ";", ":", "!", "?")
+
 #: Chunks whose pre-tokens are found here: their characters have been classed
 #: alike by all Unicode versions since 5.0 and, for words, are lower-cased one
 #: for one. All other chunks go through the tokenizer as they are.
@@ -118,22 +121,38 @@ class ChunkEncoder(Bounded):
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u4" if size > 0xFFFF else "<u2")
         self.merge = Merger(self.tokenizer)
+        self.tokenize, self.space = self.merge.merge, self.merge.space
         self.numbers = [k.to_bytes(self.dtype.itemsize, "little") for k in range(size)]
 
     def __missing__(self, chunk: str) -> bytes:
         if (found := self.old.get(chunk)) is None:
-            if (not self.mark or self.mark not in chunk) and self.plain(chunk):
-                text = chunk.lower() if self.lower else chunk
-                one = (text[1:] if text[0] == " " else text).isalpha()
-                if one or len(pieces := self.cut(text)) == 1:
-                    numbers = self.numbers
-                    found = b"".join([numbers[t.id] for t in self.merge(text)])
-                else:
-                    found = b"".join([self[p] for p in pieces])
-            else:
-                ids = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
-                found = np.array(ids, self.dtype).tobytes()
-        return self.keep(chunk, found)
+            found = self._new(chunk)
+        if len(self) >= self.limit:
+            return self.keep(chunk, found)
+        self[chunk] = found
+        return found
+
+    def _new(self, chunk: str) -> bytes:
+        spaced = chunk[0] == " "
+        body = chunk[1:] if spaced else chunk
+        if body.isalpha():
+            if body.isascii():  # one pre-token, the commonest case
+                numbers = self.numbers
+                text = self.space + body if spaced else body.lower() if self.lower else body
+                return b"".join([numbers[t.id] for t in self.tokenize(text)])
+            if self.plain(chunk):
+                return self._merged(chunk.lower() if self.lower else chunk)
+        elif body[-1:] in SENTENCE_MARKS and body[:-1].isalpha() and self.plain(chunk):
+            return self[chunk[:-1]] + self[chunk[-1]]
+        elif (not self.mark or self.mark not in chunk) and self.plain(chunk):
+            pieces = self.cut(chunk.lower() if self.lower else chunk)
+            return b"".join([self[p] for p in pieces]) if len(pieces) > 1 else self._merged(pieces[0])
+        ids = self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
+        return np.array(ids, self.dtype).tobytes()
+
+    def _merged(self, piece: str) -> bytes:
+        numbers = self.numbers
+        return b"".join([numbers[t.id] for t in self.merge(piece)])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian ids of each text; null counts as empty."""
