@@ -12,41 +12,42 @@ from recordloom.llm.common import stored
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (its smallest node) for the nodes of ``edges(src, dst)``.
 
-    In each round every node points to the neighbour (or itself) of the smallest
-    hash, pointers are followed one step further, and the graph is contracted
-    to the nodes pointed at. Hashes make that shrink paths too by a constant
-    factor, so the rounds grow with the logarithm of the nodes. Sums by node are
-    pre-aggregated; in the joins one side is a stored table with one row a node,
-    so that Spark can split a hub's rows over tasks.
+    In each round every node points to the first of its neighbours and itself,
+    and the graph is contracted to the nodes pointed at: first by id, which
+    folds stars around their smallest node at once, then by the ids' hashes,
+    which shrinks paths too by a constant factor, so the rounds grow with the
+    logarithm of the nodes. Sums by node are pre-aggregated; in the joins one
+    side is a stored table with one row a node, so that Spark can split a hub's
+    rows over tasks.
 
     Links of a node to itself are ignored but keep the node; null ends are
     dropped; an empty table has no nodes.
     """
-    edges = stored(
-        edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna().distinct(), "links"
-    )
-    labels = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node"))
-    labels = stored(labels, "labels")
-    graph = edges.filter("src <> dst")
+    graph = stored(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).dropna(), "links")
+    pointers: list[DataFrame] = []
     while not graph.isEmpty():
         both = graph.union(graph.select("dst", "src")).toDF("node", "other")
-        near = both.groupBy("node").agg(
-            F.min(F.struct(F.xxhash64("other").alias("h"), F.col("other").alias("v"))).alias("m")
-        )
-        own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("v"))
-        to = stored(near.select("node", F.least("m", own)["v"].alias("to")), "pointers")
-        onward = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        to = stored(to.join(onward, "to").select("node", F.col("next").alias("to")), "pointers")
+        if pointers:
+            rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+            near = both.groupBy("node").agg(F.min(rank("other")).alias("m"))
+            to = near.select("node", F.least("m", rank("node"))["v"].alias("to"))
+        else:
+            to = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("m", "node").alias("to"))
+        to = stored(to, "pointers")
+        pointers.append(to)
         ends = [to.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("src", "dst")]
         graph = stored(
             graph.join(ends[0], "src").join(ends[1], "dst").filter("src_to <> dst_to")
             .select(F.least("src_to", "dst_to").alias("src"), F.greatest("src_to", "dst_to").alias("dst")).distinct(),
             "links",
         )
-        step = to.withColumnRenamed("node", "label")
-        labels = stored(
-            labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"
-        )
+    if not pointers:
+        return graph.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    labels = pointers[0].withColumnRenamed("to", "label")
+    for to in pointers[1:]:
+        labels = labels.join(to.withColumnRenamed("node", "label"), "label", "left")
+        labels = labels.select("node", F.coalesce("to", "label").alias("label"))
+    labels = stored(labels, "labels")
     least = stored(labels.groupBy("label").agg(F.min("node").alias("component")), "smallest")
     return labels.join(least, "label").select("node", "component")
 
