@@ -13,11 +13,13 @@
 3. Small nodes are compared exhaustively on 128-bit sketches (one bit of each
    minwise value), which keeps candidates only. Nodes that stay large at the
    deepest level hold near copies of each other; they are cut into blocks, each
-   with the node's ``LEADERS``.
+   with the node's ``LEADERS``, which connects most of them cheaply.
 4. Candidates are grouped: small groups of candidates as a whole, larger ones
    by their nodes. Each group's full shingle sets are brought together and
    links confirmed exactly, skipping pairs that are connected already.
-5. Connected components over the links give the classes' components.
+5. What these blocks left apart in a node that stayed large meets in pairs of
+   pieces: all its pairs of documents not connected by then are compared.
+6. Connected components over the links give the classes' components.
 
 A pair at the threshold survives the first three levels of one tree with
 probability 0.7, so 10 trees miss it with 6e-6; more similar pairs are safer.
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +144,12 @@ def _alike(bits: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
     return left[keep], right[keep]
 
 
+def sketch_cut(similarity: float) -> int:
+    """Bits that sketches of sets of this similarity share at least, but for 4.5 standard deviations."""
+    even = 0.5 + similarity / 2
+    return math.floor(POSITIONS * even - 4.5 * math.sqrt(POSITIONS * even * (1 - even)))
+
+
 def block_name(docs: np.ndarray) -> int:
     """The same number for the same documents, whatever their order."""
     return xxhash.xxh3_64_intdigest(np.sort(docs).tobytes()) - (1 << 63)
@@ -257,13 +266,16 @@ def _regrouped(found: DataFrame, limit: int, cut: int) -> tuple[DataFrame, DataF
 
 def candidate_blocks(
     classes: DataFrame, similarity: float, trees: int, first_levels: int, more_levels: int, limit: int, rounds: int
-) -> DataFrame:
-    """``block``, ``doc``: sets of classes that may be linked, from all trees."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """``block``, ``doc``: sets of classes that may be linked, from all trees.
+
+    Second, all rows (block, doc, s0, s1) of the nodes that stayed large, those
+    at the tasks' edges included; None if there are none.
+    """
     extra = 1 / similarity - 1
-    even = 0.5 + similarity / 2
-    cut = math.floor(POSITIONS * even - 4.5 * math.sqrt(POSITIONS * even * (1 - even)))
+    cut = sketch_cut(similarity)
     rows = _node_rows(classes, trees, first_levels, extra)
-    blocks = []
+    blocks, crowds = [], None
     for k in range(rounds + 1):
         found = stored(_by_node(rows, limit, cut, k == rounds), "near-nodes")
         blocks.append(found.filter(F.col("kind") == CLOSED).select("block", "doc"))
@@ -275,6 +287,7 @@ def candidate_blocks(
             nodes = large.select(F.col("block").alias("node"), "doc").distinct()
             rows = _node_rows(nodes.join(classes, "doc"), trees, more_levels, extra)
         else:
+            crowds = large = stored(large.dropDuplicates(["block", "doc"]), "near-crowds")
             leaders = large.groupBy("block", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)).alias("k")).agg(F.min("doc").alias("lead"))
             piece = found.filter(F.col("kind") == PIECE)
             blocks.append(piece.select("block", "doc"))
@@ -283,7 +296,18 @@ def candidate_blocks(
     every = blocks[0]
     for more in blocks[1:]:
         every = every.union(more)
-    return stored(every.distinct(), "near-blocks")
+    return stored(every.distinct(), "near-blocks"), crowds
+
+
+def _similar(va: np.ndarray, vb: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach ``percent`` of similarity."""
+    na, nb = len(va), len(vb)
+    if 100 * min(na, nb) < percent * max(na, nb):
+        return False
+    place = np.searchsorted(vb, va)
+    place[place == nb] = nb - 1
+    shared = int((vb[place] == va).sum())
+    return 100 * shared >= percent * (na + nb - shared)
 
 
 def _confirmed(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
@@ -300,12 +324,8 @@ def _confirmed(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
                 vb, nb = values[b], len(values[b])
                 if 100 * na < percent * nb:
                     break
-                if forest.root(a) != forest.root(b):
-                    place = np.searchsorted(vb, va)
-                    place[place == nb] = nb - 1
-                    shared = int((vb[place] == va).sum())
-                    if 100 * shared >= percent * (na + nb - shared):
-                        forest.join(a, b)
+                if forest.root(a) != forest.root(b) and _similar(va, vb, percent):
+                    forest.join(a, b)
         least: dict[int, int] = {}
         for k, doc in enumerate(docs):
             root = forest.root(k)
@@ -342,6 +362,98 @@ def _confirmed_wide(sets: DataFrame, wide: DataFrame, members: DataFrame, links:
     return links.union(found).union(_confirmed(sets, rest, percent))
 
 
+def _rooms(crowds: DataFrame) -> DataFrame:
+    """``room``, ``doc``, ``s0``, ``s1``: where all pairs have to meet.
+
+    Nodes of several trees that share documents are one room if all its pairs
+    are no more than those of its nodes one by one, else each is its own.
+    """
+    sizes = stored(crowds.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lead")), "near-nodes")
+    ends = crowds.join(sizes, "block").select(F.col("doc").alias("src"), F.col("lead").alias("dst"))
+    parts = stored(connected_components(ends), "near-parts")
+    whole = parts.groupBy("component").agg(F.count(F.lit(1)).alias("all"))
+    apart = sizes.join(parts.withColumnRenamed("node", "lead"), "lead").select("block", "component", F.col("n").cast("double").alias("n"))
+    pairs = apart.groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    joint = pairs.join(whole, "component").filter(F.col("all").cast("double") * F.col("all") <= F.col("pairs"))
+    one = stored(apart.join(joint.select("component", F.lit(True).alias("joint")), "component", "left"), "near-joint")
+    room = F.when(F.col("joint"), F.xxhash64(F.lit("joint"), "component")).otherwise(F.xxhash64("block"))
+    rows = crowds.join(one.select("block", room.alias("room")), "block").select("room", "doc", "s0", "s1")
+    return rows.dropDuplicates(["room", "doc"])
+
+
+def _pieces(rows: DataFrame, piece_rows: int) -> DataFrame:
+    """``room``, ``piece``, ``doc``, ``c``, ``s0``, ``s1``: pieces of a room's rows in the order of ``c``, none over tasks."""
+    names = ["room", "piece", "doc", "c", "s0", "s1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        room, at = None, 0  # rows of the room so far in this task
+        for batch in batches:
+            number = np.empty(batch.num_rows, np.int64)
+            for k, here in enumerate(batch.column(0).to_pylist()):
+                at = at + 1 if here == room else 0
+                room = here
+                number[k] = task + at // piece_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number), *batch.columns[1:]], names)
+
+    order = ["room", "c", "doc"]
+    ordered = rows.select("room", "doc", "c", "s0", "s1").repartitionByRange(shuffle_parts(rows.sparkSession), *order)
+    return ordered.sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _confirmed_apart(sets: DataFrame, crowds: DataFrame, links: DataFrame, percent: int, piece_rows: int) -> DataFrame:
+    """Links among the documents of large nodes that ``links`` leave apart.
+
+    A room's rows are cut into pieces in the order of their components; every
+    two pieces meet, unless all their rows are connected, so that one task never
+    holds more than two pieces and a huge room spreads over all tasks.
+    """
+    parts = connected_components(links).withColumnRenamed("node", "doc")
+    rows = stored(_rooms(crowds).join(parts, "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component"), "near-rooms")
+    groups = rows.groupBy("room", "c").agg(F.count(F.lit(1)).alias("n"))
+    open_rooms = groups.groupBy("room").agg(F.count(F.lit(1)).alias("cs")).filter("cs > 1").select("room")
+    rows = rows.join(stored(open_rooms, "near-open-rooms"), "room", "left_semi")
+    rows = stored(_pieces(rows, piece_rows), "near-pieces")
+    pieces = stored(rows.groupBy("room", "piece").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "near-spans")
+    left, right = (pieces.select("room", *[F.col(c).alias(f"{c}{k}") for c in ("piece", "lo", "hi")]) for k in (0, 1))
+    met = left.join(right, "room").filter("piece0 <= piece1 and least(lo0, lo1) <> greatest(hi0, hi1)")
+    met = stored(met.select("room", "piece0", "piece1"), "near-met")
+    sides = [met.withColumn("side", F.lit(k)).withColumn("piece", F.col(f"piece{k}")) for k in (0, 1)]
+    sides[1] = sides[1].filter("piece0 <> piece1")
+    placed = sides[0].union(sides[1]).join(rows, ["room", "piece"])
+    block, same = F.xxhash64("room", "piece0", "piece1").alias("block"), (F.col("piece0") == F.col("piece1")).alias("same")
+    placed = placed.select(block, same, "side", "doc", "c", "s0", "s1")
+    cut = sketch_cut(percent / 100)
+
+    def alike(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs of both sides (of one piece: all) that aren't connected and whose sketches agree."""
+        i, j = _alike(np.stack([table.column(c).to_numpy() for c in ("s0", "s1")], axis=1), cut)
+        c, side = table.column("c").to_numpy(), table.column("side").to_numpy()
+        keep = (c[i] != c[j]) & (table.column("same")[0].as_py() | (side[i] != side[j]))
+        return i[keep], j[keep]
+
+    kind = "block long, same boolean, side int, doc long, c long, s0 long, s1 long"
+
+    def hopeful(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(np.unique(np.concatenate(alike(table)))))
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = table.column("doc").to_pylist()
+        values = [np.frombuffer(x, np.uint64) for x in table.column("values").to_pylist()]
+        _, c = np.unique(table.column("c").to_numpy(), return_inverse=True)
+        forest, src, dst = Forest(len(docs)), [], []
+        for i, j in zip(*(x.tolist() for x in alike(table))):
+            if forest.root(int(c[i])) != forest.root(int(c[j])) and _similar(values[i], values[j], percent):
+                forest.join(int(c[i]), int(c[j]))
+                src.append(docs[i])
+                dst.append(docs[j])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    left = stored(placed.groupBy("block").applyInArrow(hopeful, kind), "near-hopeful")
+    full = left.join(sets, "doc").select(*left.columns, "values")
+    return links.union(stored(full.groupBy("block").applyInArrow(run, "src long, dst long"), "near-met-links"))
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -373,7 +485,7 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature")),
         "near-classes",
     )
-    blocks = candidate_blocks(classes, percent / 100, trees, first_levels, more_levels, limit, rounds)
+    blocks, crowds = candidate_blocks(classes, percent / 100, trees, first_levels, more_levels, limit, rounds)
     stars = blocks.join(stored(blocks.groupBy("block").agg(F.min("doc").alias("lead")), "near-leads"), "block")
     guess = stored(connected_components(stars.select(F.col("doc").alias("src"), F.col("lead").alias("dst"))), "near-guess")
     sizes = stored(guess.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
@@ -394,6 +506,9 @@ def near_duplicates(
     )
     links = stored(_confirmed(sets, groups, percent), "near-links")
     links = _confirmed_wide(sets, wide, sized.filter(F.col("n") > whole), links, percent)
+    if crowds is not None:  # groups of at most ``whole`` were compared as a whole above
+        crowds = crowds.join(sized.filter(F.col("n") > whole).select(F.col("node").alias("doc")), "doc", "left_semi")
+        links = _confirmed_apart(sets, crowds, stored(links, "near-links"), percent, max(1, whole // 2))
     parts = connected_components(links).withColumnRenamed("node", "doc")
     named = stored(
         classes.select("h1", "h2", "doc").join(parts, "doc", "left")
