@@ -6,11 +6,12 @@
    sample (``sample`` classes with the smallest hashes); every class is coded.
    Each code keeps the length of what it loses.
 3. Every class is a query. It probes each list whose bisector with its own
-   nearest centre lies within ``probe_sigmas`` standard deviations of what a
-   difference at the threshold spans along one direction: 3 miss at most one in
-   700 links at the very threshold, fewer above it; None takes the full
-   difference, which provably reaches all links. Lists travel as blocks of
-   bounded size: short near lists share a block, a long list is split.
+   nearest centre lies within the difference at the threshold, which provably
+   reaches all links. ``probe_sigmas`` takes so many standard deviations of what
+   that difference spans along one direction instead; this holds only for
+   differences spread evenly over all dimensions and loses links elsewhere.
+   Lists travel as blocks of bounded size: short near lists share a block, a
+   long list is split.
 4. Within a block the asymmetric distance of query and code comes from lookup
    tables. By the triangle inequality a code farther than the threshold
    distance plus its own loss can't be a link: that drops no link. What is left
@@ -261,7 +262,7 @@ def near_vectors(
     subspaces: int = 8,
     codewords: int = 256,
     sample: int = 16_384,
-    probe_sigmas: float | None = 3.0,
+    probe_sigmas: float | None = None,
     block: int = 2_048,
     query_block: int = 16_384,
 ) -> DataFrame:

@@ -153,6 +153,18 @@ def test_near_vectors(spark, sigmas, block):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_near_vectors_of_a_decaying_spectrum(spark):
+    """Centres and differences lie along the same few directions; the default loses no link."""
+    rng = np.random.default_rng(8)
+    scale = 1 / np.arange(1, 65) ** 1.5
+    points = rng.normal(size=(400, 64)) * scale
+    close = points[:300] + rng.normal(size=(300, 64)) * scale * 0.2
+    rows = [(k, [float(np.float32(x)) for x in v], 1) for k, v in enumerate(np.concatenate([points, close]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_vectors(frame, 0.95, lists=60).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute_vectors(rows, 0.95)
+
+
 def test_table_distances_are_distances_to_the_codes():
     rng = np.random.default_rng(1)
     units = rng.normal(size=(500, 10))
