@@ -1,6 +1,8 @@
 """Classifiers, decontamination and url verdicts."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import decontaminate, quality, toxicity, url_filter
 from recordloom.llm.queries import ORACLE_SQL
-from recordloom.llm.toxicity import Index, Vocabulary, terms_of, words_of
+from recordloom.llm.toxicity import Index, tally, words_of
 from tests.llm.conftest import words
 from tests.llm.test_near import sets_of
 
@@ -94,25 +96,94 @@ def test_toxicity_never_learns_from_held_out_labels(spark, labelled):
     assert a == b
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("common", [256, 8, 0])
+def test_nearest_is_exact(monkeypatch, common):
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = random.Random(4)
-    terms = sorted({t for k in range(60) for t in terms_of(f"term{k:02d}xy")})
-    held = Vocabulary(terms)
-    texts = [" ".join(rng.choices([f"term{k:02d}xy" for k in range(60)], k=rng.randint(0, 12))) for _ in range(700)]
-    counts = [held.counts(t) for t in texts]
-    index = Index(list(range(700)), [rng.randint(0, 1) for _ in range(700)], counts, np.array([rng.uniform(1, 5) for _ in terms]))
-    for c in counts[:80]:
-        t, w = index.vector(c)
+    terms = [f"term{k:02d}" for k in range(60)]
+    number = {t: k for k, t in enumerate(terms)}
+    texts = [" ".join(rng.choices(terms, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 12))) for _ in range(700)]
+    tallies = [tally(t, number) for t in texts]
+    index = Index(list(range(700)), [rng.randint(0, 1) for _ in range(700)], tallies, np.array([rng.uniform(1, 5) for _ in terms]))
+    for each in tallies[:80]:
+        t, w = index.vector(*each)
         mine = dict(zip(t.tolist(), w.tolist()))
         full = np.array([sum(mine.get(a, 0) * b for a, b in zip(x.tolist(), y.tolist())) for x, y in index.vectors])
         want = np.lexsort((np.arange(len(full)), -np.round(full, 12)))[:9]
         found, cosines = index.nearest(t, w, 9)
         assert np.allclose(full[found], full[want[full[want] > 0]]) and np.allclose(cosines, full[found])
+    assert Index([], [], [], np.zeros(0)).nearest(np.zeros(0, np.int64), np.zeros(0), 3)[0].size == 0
 
 
-def test_terms():
+def test_toxicity_scores_against_brute_force(spark, labelled):
+    """Cosines over all words of the examples, votes and calibration, by plain dictionaries."""
+    docs, labels, rows = labelled
+    mods = crc_mod(spark, 5)
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and mods.get(r["doc_id"], 0)}
+    texts = {i: t for i, t in rows if i in marks}
+    examples = {}
+    for i in sorted(texts):
+        examples.setdefault(texts[i], (i, marks[i]))
+    examples = [(t, i, m) for t, (i, m) in examples.items()]
+    bags = [Counter(words_of(t)) for t, _, _ in examples]
+    positives, count = sum(m for _, _, m in examples), len(examples)
+    seen, toxic, df = Counter(), Counter(), Counter()
+    for bag, (_, _, m) in zip(bags, examples):
+        seen.update(bag.keys())
+        toxic.update(bag.keys() if m else [])
+    for _, t in rows:
+        df.update(set(words_of(t)))
+    p = positives / count
+    scale = {
+        w: math.log((1 + len(rows)) / df[w]) * max(1, abs(toxic[w] - n * p) / math.sqrt(n * p * (1 - p) + 1)) for w, n in seen.items()
+    }
+
+    def vector(bag):
+        made = {w: (1 + math.log(n)) * scale[w] for w, n in bag.items() if w in scale}
+        length = math.sqrt(sum(x * x for x in made.values()))
+        return {w: x / length for w, x in made.items()}
+
+    vectors = [vector(b) for b in bags]
+    shares = [sum(m == k for m in marks.values()) for k in (0, 1)]
+
+    def vote(bag, without=None):
+        mine = vector(bag)
+        near = [(sum(x * v.get(w, 0) for w, x in mine.items()), m) for k, (v, (_, _, m)) in enumerate(zip(vectors, examples)) if k != without]
+        near = sorted((x for x in near if x[0] > 1e-12), key=lambda x: -x[0])[:15]
+        pull = [c / (1.05 - min(c, 1)) for c, _ in near]
+        base = shares[1] / sum(shares)
+        return (sum(a * m for a, (_, m) in zip(pull, near)) + 0.1 * base) / (sum(pull) + 0.1) if near or without is not None else None
+
+    _, scorer = toxicity.fit(docs.select("doc_id", "text"), labels, 1_000, 15)
+    sizes = [count - positives, positives]
+    weight = [shares[k] / sizes[k] for k in (0, 1)]
+    mean = sum(weight[m] for _, _, m in examples) / count
+    slope = shift = 0.0
+    for k, (bag, (_, _, m)) in enumerate(zip(bags, examples)):  # the fit's gradient is zero over the votes
+        v = vote(bag, k)
+        off = weight[m] / mean * (1 / (1 + math.exp(-(scorer.slope * v + scorer.shift))) - m)
+        slope, shift = slope + off * v, shift + off
+    assert abs(slope + 0.01 * scorer.slope) < 1e-4 and abs(shift + 0.01 * scorer.shift) < 1e-4
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    for i, t in [(i, t) for i, t in rows if i is not None][::9]:
+        v = vote(Counter(words_of(t)))
+        want = scorer.without_terms if v is None else 1 / (1 + math.exp(-(scorer.slope * v + scorer.shift)))
+        assert got[i] == pytest.approx(want, abs=1e-9), i
+
+
+def test_toxicity_with_masses_of_repeated_rows(spark, labelled):
+    """Repeated rows of an example make one example, and each row its own verdict."""
+    docs, labels, rows = labelled
+    many = docs.union(docs.filter("doc_id in (7, 8)").crossJoin(spark.range(300).select()))
+    got = toxicity.score(many, labels).collect()
+    assert len(got) == len(rows) + 600
+    assert len({r["score"] for r in got if r["doc_id"] == 7}) == 1
+
+
+def test_words():
     assert words_of("A-b 'C' été") == ["a", "b", "c", "été"] and words_of(None) == []
-    assert terms_of("idiots") == ("idiots", "idiot*") and terms_of("short") == ("short",)
+    terms, times = tally("b a b x", {"a": 1, "b": 0})
+    assert terms.tolist() == [0, 1] and times.tolist() == [2, 1]
 
 
 @pytest.mark.parametrize("no_of", ["docs", "labels"])
