@@ -3,15 +3,19 @@
 1. Vectors equal bit for bit form a class of which one goes on, with its weight.
 2. A coarse quantiser (k-means on unit vectors) gives inverted lists; residuals
    to the list's centre are coded by subspace. Both are fitted on a bounded
-   sample (``sample`` classes with the smallest hashes); every class is coded.
-   Each code keeps the length of what it loses.
+   sample of classes with the smallest hashes; every class is coded. Each code
+   keeps the length of what it loses. Lists grow with the classes at first, then
+   with the root of their number, and the sample with the lists.
 3. Every class is a query. It probes each list whose bisector with its own
-   nearest centre lies within the difference at the threshold, which provably
-   reaches all links. ``probe_sigmas`` takes so many standard deviations of what
-   that difference spans along one direction instead; this holds only for
-   differences spread evenly over all dimensions and loses links elsewhere.
+   nearest centre lies within a reach. The reach comes from the data: the sample's
+   links, and sampled vectors moved by the threshold's distance as neighbours in
+   the sample differ, show how far past a bisector the other end of a link lies; the
+   share ``recall`` of them decides. Without ``recall`` the reach is the whole
+   difference at the threshold, which provably finds all links but probes most
+   lists of evenly spread vectors.
    Lists travel as blocks of bounded size: short near lists share a block, a
-   long list is split.
+   long list is split. A block that more than ``query_block`` queries probe is
+   copied once for each such part of its queries; no other is.
 4. Within a block the asymmetric distance of query and code comes from lookup
    tables. By the triangle inequality a code farther than the threshold
    distance plus its own loss can't be a link: that drops no link. What is left
@@ -57,11 +61,21 @@ def nearest_of(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     )
 
 
+def nested_kmeans(points: np.ndarray, count: int, rounds: int, seed: int) -> np.ndarray:
+    """Centres for many lists: first groups, then each group's share of the centres."""
+    if count <= 2048:
+        return kmeans(points, count, rounds, seed)
+    groups = kmeans(points, math.isqrt(count), rounds, seed)
+    own = nearest_of(points, groups)
+    parts = [points[own == g] for g in range(len(groups))]
+    return np.concatenate([kmeans(p, max(1, round(count * len(p) / len(points))), rounds, seed) for p in parts if len(p)])
+
+
 class Quantiser:
-    """Coarse centres and residual codebooks; its size depends on parameters only."""
+    """Coarse centres and residual codebooks; its size grows with the lists alone."""
 
     def __init__(self, units: np.ndarray, lists: int, subspaces: int, codewords: int, seed: int = 7):
-        self.centres = kmeans(units, lists, 8, seed)
+        self.centres = nested_kmeans(units, lists, 8, seed)
         own = nearest_of(units, self.centres)
         residuals = units - self.centres[own]
         edges = np.linspace(0, units.shape[1], min(subspaces, units.shape[1]) + 1).astype(int)
@@ -87,6 +101,40 @@ class Quantiser:
         ahead = ((centres**2).sum(axis=1) - 2 * units @ centres.T) - self._ahead(units, own)[:, None]
         return ahead <= 2 * reach * self.apart[np.ix_(own, lists)] + 1e-9
 
+    def reach(self, units: np.ndarray, distance: float, recall: float, seed: int = 3) -> float:
+        """How far past bisectors the share ``recall`` of links from these vectors reaches.
+
+        Links are those among the vectors themselves, and made ones: a vector
+        moved by ``distance`` the way that one of them lies from a near neighbour,
+        so a spread along few directions counts as it is. The larger reach holds.
+        """
+        rng = np.random.default_rng(seed)
+        own = nearest_of(units, self.centres)
+        past: list[np.ndarray] = []
+        made: list[np.ndarray] = []
+        for lo in range(0, len(units), 1024):
+            here = np.arange(lo, min(lo + 1024, len(units)))
+            squares = 2 - 2 * units[here] @ units.T
+            squares[np.arange(len(here)), here] = np.inf
+            q, x = np.nonzero(squares <= distance**2)
+            past.append(self._past(units[here[q]], own[here[q]], own[x]))
+            if len(units) > 1:
+                near = np.argpartition(squares, min(7, len(units) - 2), axis=1)[:, : min(8, len(units) - 1)]
+                to = near[np.arange(len(here)), rng.integers(0, near.shape[1], len(here))]
+                step = np.roll(units[to] - units[here], 1, axis=0)
+                length = np.sqrt((step**2).sum(axis=1))
+                moved = units[here] + step * (distance / np.maximum(length, 1e-9))[:, None]
+                moved /= np.maximum(np.sqrt((moved**2).sum(axis=1)), 1e-12)[:, None]
+                there = nearest_of(moved, self.centres)
+                made += [self._past(moved, there, own[here]), self._past(units[here], own[here], there)]
+        found = [np.quantile(np.concatenate(x), recall) for x in (past, made) if sum(map(len, x))]
+        return float(min(distance, max([0.0, *found])))
+
+    def _past(self, units: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How far each vector lies from the bisector of its own centre and another list's, 0 for its own."""
+        gap = self._ahead(units, other) - self._ahead(units, own)
+        return np.where(own == other, 0.0, gap / (2 * np.sqrt(np.maximum(((self.centres[own] - self.centres[other]) ** 2).sum(axis=1), 1e-18))))
+
     def _ahead(self, units: np.ndarray, own: np.ndarray) -> np.ndarray:
         centres = self.centres[own]
         return (centres**2).sum(axis=1) - 2 * np.einsum("ij,ij->i", units, centres)
@@ -129,18 +177,19 @@ def _usable(embedding: Column) -> Column:
 
 
 def _links(
-    classes: DataFrame, length: int, cosine: float, lists: int | None, subspaces: int, codewords: int, sample: int,
-    probe_sigmas: float | None, block: int, query_block: int,
+    classes: DataFrame, kind: str, length: int, cosine: float, lists: int | None, subspaces: int, codewords: int,
+    sample: int, recall: float | None, block: int, query_block: int,
 ) -> DataFrame:
     """Rows (node, links, reached) from the blocks, for classes of one vector length."""
     spark = classes.sparkSession
     count = classes.count()
-    fitted = classes.orderBy(F.xxhash64("node"), "node").limit(sample).select("embedding").toArrow()
-    column = fitted.column(0).combine_chunks()
-    model = Quantiser(_units(column, length), lists or min(1024, max(1, count // 50)), subspaces, codewords)
-    shared = spark.sparkContext.broadcast(model)
+    wanted = lists or max(1, min(count // 50, max(1024, 4 * math.isqrt(count))))
+    fitted = classes.orderBy(F.xxhash64("embedding"), "node").limit(max(sample, 8 * wanted)).select("embedding").toArrow()
+    points = _units(fitted.column(0).combine_chunks(), length)
+    model = Quantiser(points, wanted, subspaces, codewords)
     distance = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
-    reach = distance if probe_sigmas is None else min(distance, probe_sigmas * distance / math.sqrt(length))
+    reach = distance if recall is None else model.reach(points[:sample], distance, recall)
+    shared = spark.sparkContext.broadcast(model)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,57 +199,70 @@ def _links(
                 ["node", "weight", "embedding", "list", "code", "lost"],
             )
 
-    kind = "node long, weight long, embedding array<float>"
-    coded = stored(classes.select("node", "weight", "embedding").mapInArrow(code, f"{kind}, list int, code binary, lost double"), "pq-codes")
+    rows = f"node long, weight long, embedding {kind}"
+    coded = stored(classes.select("node", "weight", "embedding").mapInArrow(code, f"{rows}, list int, code binary, lost double"), "pq-codes")
     sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    # Blocks: at most one row a list here. A long list has several blocks, short near ones share one.
-    blocks_of: dict[int, list[int]] = {}
+    # Blocks: one row a list here. A long list has several blocks, short near ones share one.
+    first, many = np.zeros(len(model.centres), np.int64), np.zeros(len(model.centres), np.int64)
     used, filled = 0, block
     for number in model.neighbourly(max(1, block * len(model.centres) // max(1, count))).tolist():
         size = sizes.get(number, 0)
         if size > block:
-            blocks_of[number] = list(range(used, used + math.ceil(size / block)))
-            used, filled = used + len(blocks_of[number]), block
+            first[number], many[number] = used, math.ceil(size / block)
+            used, filled = used + math.ceil(size / block), block
         elif size:
             if filled + size > block:
                 used, filled = used + 1, 0
-            blocks_of[number] = [used - 1]
+            first[number], many[number] = used - 1, 1
             filled += size
-    parts = math.ceil(count / query_block)
-    plan = spark.sparkContext.broadcast((blocks_of, parts))
+
+    def places(model: Quantiser, units: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each query and a block it probes, each pair once."""
+        every = np.nonzero(many)[0]
+        row, at = np.nonzero(model.probes(units, own, every, reach))
+        times = many[every[at]]
+        ends = np.cumsum(times)
+        to = np.repeat(first[every[at]], times) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times)
+        pairs = np.unique(np.repeat(row, times) * used + to)
+        return pairs // used, pairs % used
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks = np.zeros(used, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                piece = batch.slice(lo, 1024)
+                asks += np.bincount(places(shared.value, _units(piece.column(0), length), piece.column(1).to_numpy())[1], minlength=used)
+        here = np.nonzero(asks)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(asks[here])], ["block", "n"])
+
+    asks = coded.select("embedding", "list").mapInArrow(probed, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    parts = np.ones(used, np.int64)
+    for r in asks.collect():  # one row a block
+        parts[r["block"]] = math.ceil(r["n"] / query_block)
+    begin = np.cumsum(parts) - parts
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each class to its block (once for each part of the queries), and as a query to the blocks it probes."""
-        targets, parts = plan.value
-        every = np.array(sorted(targets), np.int64)
-        first = np.array([targets.get(k, [0])[0] for k in range(len(shared.value.centres))])
-        many = np.array([len(targets.get(k, ())) for k in range(len(shared.value.centres))])
+        """Each class to its block (once for each part of the block's queries), and as a query to the blocks it probes."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 piece = batch.slice(lo, 1024)
-                node = piece.column(0).to_numpy()
-                spread = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 own = piece.column(3).to_numpy()
-                stays = first[own] + (spread % np.maximum(many[own], 1).astype(np.uint64)).astype(np.int64)
-                row, part, to, role = [np.repeat(np.arange(len(node)), parts)], [np.tile(np.arange(parts), len(node))], [np.repeat(stays, parts)], [np.zeros(len(node) * parts, np.int32)]
-                wanted = shared.value.probes(_units(piece.column(2), length), own, every, reach)
-                for number, who in zip(every.tolist(), wanted.T):
-                    who = np.nonzero(who)[0]
-                    for target in targets[number]:
-                        row.append(who)
-                        to.append(np.full(len(who), target))
-                        role.append(np.ones(len(who), np.int32))
-                        part.append((spread[who] % np.uint64(parts)).astype(np.int64))
-                row, to, part, role = map(np.concatenate, (row, to, part, role))
-                _, once = np.unique(np.stack([row, to, part, role], axis=1), axis=0, return_index=True)
-                row = row[once]
+                spread = ((piece.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+                home = first[own] + spread % many[own]
+                stay = np.repeat(np.arange(len(own)), parts[home])
+                ends = np.cumsum(parts[home])
+                stays = begin[home[stay]] + np.arange(len(stay)) - np.repeat(ends - parts[home], parts[home])
+                ask, to = places(shared.value, _units(piece.column(2), length), own)
+                goes = begin[to] + (spread[ask] // 64) % parts[to]
+                role = np.repeat(np.array([0, 1], np.int32), [len(stay), len(ask)])
+                row = pa.array(np.concatenate([stay, ask]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[once] * parts + part[once]), pa.array(role[once]), *(c.take(pa.array(row)) for c in piece.columns)],
+                    [pa.array(np.concatenate([stays, goes])), pa.array(role), *(c.take(row) for c in piece.columns)],
                     ["block", "role", "node", "weight", "embedding", "list", "code", "lost"],
                 )
 
-    dealt = coded.mapInArrow(deal, f"block long, role int, {kind}, list int, code binary, lost double")
+    dealt = coded.mapInArrow(deal, f"block long, role int, {rows}, list int, code binary, lost double")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -262,7 +324,7 @@ def near_vectors(
     subspaces: int = 8,
     codewords: int = 256,
     sample: int = 16_384,
-    probe_sigmas: float | None = None,
+    recall: float | None = 0.9999,
     block: int = 2_048,
     query_block: int = 16_384,
 ) -> DataFrame:
@@ -272,23 +334,26 @@ def near_vectors(
     ``cosine``. Null vectors, zero vectors and those with null or non-finite
     components are linked with nothing; vectors of different lengths are never
     linked. A null id is linked with nothing: its component is null and it is
-    kept. Rows that share an id are one vector if they are equal. An empty table
+    kept. Rows of one id and one vector are one vector and each get its result;
+    rows of one id with different vectors are vectors of their own. ``n_links``
+    counts the ids of equal vectors and those of linked ones. An empty table
     gives an empty result; other columns, the label among them, are ignored.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     usable = F.coalesce(_usable(F.col("embedding")) & F.col("vec_id").isNotNull(), F.lit(False))
     key = [F.when(usable, F.xxhash64(F.lit(k), "embedding")).alias(f"h{k}") for k in (1, 2)]
     rows = stored(rows.select("vec_id", "embedding", *key), "pq-vectors")
-    classes = stored(
-        rows.filter("h1 is not null").groupBy("h1", "h2")
-        .agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding")),
-        "pq-classes",
-    )
+    once = rows.filter("h1 is not null").groupBy("h1", "h2", "vec_id").agg(F.first("embedding").alias("embedding"))
+    classes = once.groupBy("h1", "h2").agg(
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding")
+    )
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "pq-classes")
     lengths = [r[0] for r in classes.select(F.array_size("embedding").alias("n")).distinct().collect()]
     found = None
     for length in lengths:
         same = classes.filter(F.array_size("embedding") == length)
-        part = _links(same, length, cosine, lists, subspaces, codewords, sample, probe_sigmas, block, query_block)
+        part = _links(same, kind, length, cosine, lists, subspaces, codewords, sample, recall, block, query_block)
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select(
@@ -296,14 +361,16 @@ def near_vectors(
         )
     found = stored(found, "pq-links")
     edges = found.filter("node <> reached").select(F.col("node").alias("src"), F.col("reached").alias("dst"))
-    parts = connected_components(edges)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = stored(
-        classes.select("h1", "h2", "node", "weight").join(counts, "node", "left").join(parts, "node", "left")
-        .select(
-            "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
-        ),
+        classes.select("h1", "h2", "node", "least", "weight").join(counts, "node", "left")
+        .join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node")),
+        "pq-parts",
+    )
+    names = stored(named.groupBy("component").agg(F.min("least").alias("component_id")), "pq-names")
+    named = stored(
+        named.join(names, "component")
+        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"),
         "pq-named",
     )
     joined = rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
