@@ -112,8 +112,8 @@ class Quantiser:
         own = nearest_of(units, self.centres)
         past: list[np.ndarray] = []
         made: list[np.ndarray] = []
-        for lo in range(0, len(units), 1024):
-            here = np.arange(lo, min(lo + 1024, len(units)))
+        for lo in range(0, len(units), 256):
+            here = np.arange(lo, min(lo + 256, len(units)))
             squares = 2 - 2 * units[here] @ units.T
             squares[np.arange(len(here)), here] = np.inf
             q, x = np.nonzero(squares <= distance**2)

@@ -1,8 +1,8 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 1. Every text becomes its set of word shingles and a signature of 128 minwise
-   values. Documents with equal sets form a class, and only the smallest id of
-   each class goes on, so masses of exact copies cost nothing later.
+   values. Documents with equal sets form a class, and one row a class goes on,
+   so masses of exact copies cost nothing later.
 2. Each of ``trees`` independent trees branches the classes: at a node, the
    node's own hash picks one signature position, sometimes two (1 / similarity
    on average), and a class goes to the child named by its minwise token there.
@@ -22,7 +22,11 @@
 6. Connected components over the links give the classes' components.
 
 A pair at the threshold survives the first three levels of one tree with
-probability 0.7, so 10 trees miss it with 6e-6; more similar pairs are safer.
+probability 0.7, so 10 trees miss it with 6e-6. In a node that is still large
+after them it has to survive nine levels, with 0.44 a tree, so 10 trees miss it
+with 0.003, if no third document connects it. More similar pairs are safer. The
+depth stops there because every further level would lose more such pairs; what a
+large node still holds then is compared exactly, however large it is.
 """
 
 from __future__ import annotations
@@ -65,24 +69,25 @@ def sketch(signatures: np.ndarray) -> np.ndarray:
 
 
 def _set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, set digest ``h1``, ``h2``, ``signature``; no shuffle."""
+    """``doc_id``, ``t`` (hash of the text), ``n_shingles``, set digest ``h1``, ``h2``, ``signature``; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, found = [], [], []
-            for text in texts_of(batch.column(1)):
+            for text in texts_of(batch.column(2)):
                 values = shingles(text, words)
                 counts.append(len(values))
                 digests.append(xxhash.xxh3_128_digest(values.tobytes()))
                 found.append(signature(values).tobytes() if len(values) else None)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
                  pa.array(found, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "signature"],
+                ["doc_id", "t", "n_shingles", "h1", "h2", "signature"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return rows.mapInArrow(run, "doc_id long, t long, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -454,6 +459,62 @@ def _confirmed_apart(sets: DataFrame, crowds: DataFrame, links: DataFrame, perce
     return links.union(stored(full.groupBy("block").applyInArrow(run, "src long, dst long"), "near-met-links"))
 
 
+#: Shingles of a group that one task may compare as a whole (32 MB); larger groups go by their nodes.
+WHOLE_SHINGLES = 4_000_000
+
+
+def _judged(
+    docs: DataFrame, words: int, percent: int, trees: int, first_levels: int, more_levels: int, limit: int, rounds: int, whole: int
+) -> DataFrame:
+    """``doc_id``, ``t`` (hash of the text), ``n_shingles``, ``part`` (number of the component), ``component_id`` of every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = stored(_set_rows(docs, words), "near-sets")
+    classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(
+        F.min(F.struct("doc_id", "t")).alias("least"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")
+    )
+    # An id may have several texts, so a class has a number of its own.
+    classes = stored(classes.select("h1", "h2", "least", "size", "signature", F.monotonically_increasing_id().alias("doc")), "near-classes")
+    blocks, crowds = candidate_blocks(classes, percent / 100, trees, first_levels, more_levels, limit, rounds)
+    stars = blocks.join(stored(blocks.groupBy("block").agg(F.min("doc").alias("lead")), "near-leads"), "block")
+    guess = connected_components(stars.select(F.col("doc").alias("src"), F.col("lead").alias("dst")))
+    guess = stored(guess.join(classes.select(F.col("doc").alias("node"), "size"), "node"), "near-guess")
+    sizes = stored(guess.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")), "near-sizes")
+    sized = stored(guess.join(sizes, "component"), "near-sized")
+    small = (F.col("n") <= whole) & (F.col("all") <= WHOLE_SHINGLES)
+    groups = sized.filter(small & (F.col("n") > 1)).select(F.col("component").alias("block"), F.col("node").alias("doc"))
+    wide_rows = sized.filter(~small & (F.col("n") > 1))
+    wide = blocks.join(wide_rows.select(F.col("node").alias("doc")), "doc", "left_semi")
+    wanted = stored(
+        classes.join(sized.filter("n > 1").select(F.col("node").alias("doc")), "doc", "left_semi")
+        .select("h1", "h2", "doc", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t")),
+        "near-wanted",
+    )
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [shingles(t, words).tobytes() for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc", "values"])
+
+    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted.select("doc_id", "t", "doc"), ["doc_id", "t"])
+    sets = stored(texts.select("doc", "text").mapInArrow(full, "doc long, values binary").dropDuplicates(["doc"]), "near-full")
+    links = stored(_confirmed(sets, groups, percent), "near-links")
+    links = _confirmed_wide(sets, wide, wide_rows.select("component", "node", "n"), links, percent)
+    if crowds is not None:  # the small groups were compared as a whole above
+        crowds = crowds.join(wide_rows.select(F.col("node").alias("doc")), "doc", "left_semi")
+        links = _confirmed_apart(sets, crowds, stored(links, "near-links"), percent, max(1, whole // 2))
+    parts = connected_components(links).withColumnRenamed("node", "doc")
+    labels = stored(
+        classes.select("h1", "h2", "doc", "least.doc_id").join(parts, "doc", "left")
+        .select("h1", "h2", "doc_id", F.coalesce("component", "doc").alias("component")),
+        "near-labels",
+    )
+    names = stored(labels.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-names")
+    named = stored(labels.join(names, "component").select("h1", "h2", F.col("component").alias("part"), "component_id"), "near-named")
+    joined = rows.drop("signature").join(named, ["h1", "h2"], "left")
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "t", "n_shingles", "part", component.alias("component_id"))
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -474,59 +535,47 @@ def near_duplicates(
     A text of fewer words is one shingle; a null text or one without words has
     no set, is linked with nothing and is kept. A document with a null id is
     linked with nothing: ``component_id`` is null and it is kept. Repeated rows
-    are copies like any others. Very long texts are used whole. An empty table
+    are copies like any others; rows of one id with different texts are
+    documents of their own. Very long texts are used whole. An empty table
     gives an empty result; other columns are ignored. ``trees`` and the levels
     set the recall of candidates; confirmation is exact on 64-bit shingle hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(_set_rows(docs, words), "near-sets")
-    classes = stored(
-        rows.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature")),
-        "near-classes",
-    )
-    blocks, crowds = candidate_blocks(classes, percent / 100, trees, first_levels, more_levels, limit, rounds)
-    stars = blocks.join(stored(blocks.groupBy("block").agg(F.min("doc").alias("lead")), "near-leads"), "block")
-    guess = stored(connected_components(stars.select(F.col("doc").alias("src"), F.col("lead").alias("dst"))), "near-guess")
-    sizes = stored(guess.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
-    sized = stored(guess.join(sizes, "component"), "near-sized")
-    groups = sized.filter(F.col("n").between(2, whole)).select(F.col("component").alias("block"), F.col("node").alias("doc"))
-    wide = blocks.join(sized.filter(F.col("n") > whole).select(F.col("node").alias("doc")), "doc", "left_semi")
-    wanted = sized.filter("n > 1").select(F.col("node").alias("doc_id"))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [shingles(t, words).tobytes() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc", "values"])
-
-    sets = stored(
-        docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(full, "doc long, values binary")
-        .dropDuplicates(["doc"]),
-        "near-full",
-    )
-    links = stored(_confirmed(sets, groups, percent), "near-links")
-    links = _confirmed_wide(sets, wide, sized.filter(F.col("n") > whole), links, percent)
-    if crowds is not None:  # groups of at most ``whole`` were compared as a whole above
-        crowds = crowds.join(sized.filter(F.col("n") > whole).select(F.col("node").alias("doc")), "doc", "left_semi")
-        links = _confirmed_apart(sets, crowds, stored(links, "near-links"), percent, max(1, whole // 2))
-    parts = connected_components(links).withColumnRenamed("node", "doc")
-    named = stored(
-        classes.select("h1", "h2", "doc").join(parts, "doc", "left")
-        .select("h1", "h2", F.coalesce("component", "doc").alias("component_id")),
-        "near-named",
-    )
-    set_less = F.col("n_shingles") == 0
-    joined = rows.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).when(set_less, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
-
-
-def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id; all columns stay.
-
-    The ids to drop are joined by a hash table a task, so texts aren't sorted.
+    judged = _judged(docs, words, percent, trees, first_levels, more_levels, limit, rounds, whole)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return judged.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicated(
+    docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, first_levels: int = 3, more_levels: int = 3,
+    limit: int = 64, rounds: int = 2, whole: int = 256,
+) -> DataFrame:
+    """``docs`` with one row of each component, one of its smallest id; all columns stay.
+
+    Of several rows of that id in the component one stays: of different texts
+    the one of the smallest hash, of equal texts any. Rows that are linked with
+    nothing stay: those with a null id and those whose text is null or without
+    words, repeated or not. An id whose texts lie in different components keeps
+    one row for each component that it names. Very long texts are compared
+    whole, an empty table stays empty and clashing columns are only passed on.
+
+    What goes is joined by a hash table a task, so texts aren't sorted; only
+    rows whose id and text occur again are grouped.
     """
-    gone = near_duplicates(docs, words, percent, **options).filter("not kept").select("doc_id").distinct()
-    return docs.join(stored(gone, "near-gone").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    judged = _judged(docs, words, percent, trees, first_levels, more_levels, limit, rounds, whole)
+    texts = judged.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "part", "component_id", "t")
+    texts = stored(texts.agg(F.count(F.lit(1)).alias("n")), "near-texts")
+    named = texts.filter("doc_id = component_id")
+    first = stored(named.groupBy("doc_id", "part").agg(F.min("t").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "near-first")
+    other = named.join(first, ["doc_id", "part"]).filter("t <> first")
+    gone = texts.filter("doc_id <> component_id").select("doc_id", "t").union(other.select("doc_id", "t"))
+    again = stored(named.filter("n > 1").select("doc_id", "t").join(gone, ["doc_id", "t"], "left_anti"), "near-again")
+    marks = gone.withColumn("_gone", F.lit(True)).union(again.withColumn("_gone", F.lit(False)))
+    marks = stored(marks.toDF("_id", "_t", "_gone"), "near-marks")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64(F.col("text").cast("string")))
+    marked = hashed.join(marks.hint("shuffle_hash"), ["_id", "_t"], "left")
+    once = marked.filter("_gone is null").select(*columns)
+    if again.isEmpty():
+        return once
+    repeated = marked.filter("not _gone").dropDuplicates(["_id", "_t"]).select(*columns)
+    return once.union(repeated)

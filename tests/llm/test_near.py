@@ -108,11 +108,38 @@ def test_deduplicated_keeps_columns(odd_docs, no_docs):
     kept = near_dup.deduplicated(odd_docs, 5, 80)
     assert kept.columns == odd_docs.columns
     ids = [r[0] for r in kept.select("doc_id").collect()]
-    assert 1 in ids and 15 not in ids and 6 not in ids and 2 in ids and 3 in ids
+    assert len(ids) == len(set(ids)) and 1 in ids and 15 not in ids and 6 not in ids and 2 in ids and 3 in ids
     assert near_dup.deduplicated(no_docs).count() == 0
     assert near_dup.near_duplicates(no_docs).count() == 0
 
 
+def test_ids_with_several_texts_and_repeated_rows(spark):
+    rng = random.Random(3)
+    a, b, c = (words(50, rng) for _ in range(3))
+    rows = [(4, "q q q"), (4, "q q q"), (7, a), (7, b), (7, b), (9, b.upper()), (3, a), (8, c), (8, c.replace(" ", "  ")), (1, None), (1, None),
+            (None, a), (None, a), (5, ""), (6, c)]
+    frame = spark.createDataFrame([(i, t, k, True) for k, (i, t) in enumerate(rows)], "doc_id long, text string, part int, kept boolean")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(frame, 5, 80).collect() if r["doc_id"])
+    want = [(1, 0, 1, True)] * 2 + [(3, 46, 3, True)] + [(4, 1, 4, True)] * 2 + [(5, 0, 5, True), (6, 46, 6, True)]
+    want += [(7, 46, 3, False), (7, 46, 7, True), (7, 46, 7, True), (8, 46, 6, False), (8, 46, 6, False), (9, 46, 7, False)]
+    assert got == want
+    kept = near_dup.deduplicated(frame, 5, 80)
+    assert kept.columns == frame.columns
+    left = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    assert left == sorted([(0, a), (0, a), (1, ""), (1, ""), (3, a), (4, "q q q"), (5, ""), (6, c), (7, b)])
+    spaced = spark.createDataFrame([(8, c), (8, c.replace(" ", "  "))], "doc_id long, text string")
+    assert near_dup.deduplicated(spaced).count() == 1
+
+
+def test_a_large_group_with_production_parameters(spark):
+    rng = random.Random(19)
+    base = words(150, rng).split()
+    rows = {k: noisy(base, rng.randint(0, 3), rng) for k in range(400)} | {1000 + k: words(80, rng) for k in range(100)}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = near_dup.near_duplicates(frame, 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows.items(), 3, 85)
+
+
 def vectors(rng):
     points = rng.normal(size=(300, 16))
     close = np.concatenate([points[:40] + rng.normal(size=(40, 16)) * s for s in (0.05, 0.15, 0.2)])
