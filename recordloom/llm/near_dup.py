@@ -49,6 +49,7 @@ from recordloom.llm.text import texts_of
 POSITIONS = 128
 LEADERS = 8
 PIECE_ROWS = 48
+PIECE_SHINGLES = 1_000_000
 _RANDOM = np.random.default_rng(20240229)
 _XOR = _RANDOM.integers(0, 1 << 32, (POSITIONS, 1), np.uint32)
 _ODD = _RANDOM.integers(0, 1 << 31, (POSITIONS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
@@ -143,10 +144,14 @@ def _node_rows(classes: DataFrame, trees: int, levels: int, extra: float) -> Dat
 def _alike(bits: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs whose sketches agree in at least ``cut`` of 128 bits."""
     words = np.ascontiguousarray(bits).view(np.uint64).reshape(-1, 2)
-    differ = np.bitwise_count(words[:, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
-    left, right = np.nonzero(differ <= POSITIONS - cut)
-    keep = left < right
-    return left[keep], right[keep]
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(words), 256):
+        differ = np.bitwise_count(words[lo : lo + 256, None, :] ^ words[None, lo:, :]).sum(axis=2, dtype=np.uint8)
+        left, right = np.nonzero(differ <= POSITIONS - cut)
+        keep = left < right
+        lefts.append(left[keep] + lo)
+        rights.append(right[keep] + lo)
+    return np.concatenate(lefts), np.concatenate(rights)
 
 
 def sketch_cut(similarity: float) -> int:
@@ -387,26 +392,32 @@ def _rooms(crowds: DataFrame) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, piece_rows: int) -> DataFrame:
-    """``room``, ``piece``, ``doc``, ``c``, ``s0``, ``s1``: pieces of a room's rows in the order of ``c``, none over tasks."""
+    """``room``, ``piece``, ``doc``, ``c``, ``s0``, ``s1``: pieces of a room's rows in the order of ``c``, none over tasks.
+
+    A piece ends at ``piece_rows`` rows or beyond ``PIECE_SHINGLES`` shingles.
+    """
     names = ["room", "piece", "doc", "c", "s0", "s1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
-        room, at = None, 0  # rows of the room so far in this task
+        piece = TaskContext.get().partitionId() << 32
+        room, at, held = None, 0, 0  # rows and shingles of the piece so far
         for batch in batches:
             number = np.empty(batch.num_rows, np.int64)
-            for k, here in enumerate(batch.column(0).to_pylist()):
-                at = at + 1 if here == room else 0
-                room = here
-                number[k] = task + at // piece_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number), *batch.columns[1:]], names)
+            for k, (here, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(5).to_pylist())):
+                if here != room or at == piece_rows or held > PIECE_SHINGLES:
+                    room, at, held, piece = here, 0, 0, piece + 1
+                at, held = at + 1, held + size
+                number[k] = piece
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number), *batch.columns[1:5]], names)
 
     order = ["room", "c", "doc"]
-    ordered = rows.select("room", "doc", "c", "s0", "s1").repartitionByRange(shuffle_parts(rows.sparkSession), *order)
+    ordered = rows.select("room", "doc", "c", "s0", "s1", "size").repartitionByRange(shuffle_parts(rows.sparkSession), *order)
     return ordered.sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _confirmed_apart(sets: DataFrame, crowds: DataFrame, links: DataFrame, percent: int, piece_rows: int) -> DataFrame:
+def _confirmed_apart(
+    sets: DataFrame, crowds: DataFrame, links: DataFrame, sizes: DataFrame, percent: int, piece_rows: int
+) -> DataFrame:
     """Links among the documents of large nodes that ``links`` leave apart.
 
     A room's rows are cut into pieces in the order of their components; every
@@ -414,7 +425,8 @@ def _confirmed_apart(sets: DataFrame, crowds: DataFrame, links: DataFrame, perce
     holds more than two pieces and a huge room spreads over all tasks.
     """
     parts = connected_components(links).withColumnRenamed("node", "doc")
-    rows = stored(_rooms(crowds).join(parts, "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component"), "near-rooms")
+    rows = _rooms(crowds).join(parts, "doc", "left").join(sizes, "doc", "left").withColumn("c", F.coalesce("component", "doc"))
+    rows = stored(rows.drop("component"), "near-rooms")
     groups = rows.groupBy("room", "c").agg(F.count(F.lit(1)).alias("n"))
     open_rooms = groups.groupBy("room").agg(F.count(F.lit(1)).alias("cs")).filter("cs > 1").select("room")
     rows = rows.join(stored(open_rooms, "near-open-rooms"), "room", "left_semi")
@@ -459,13 +471,46 @@ def _confirmed_apart(sets: DataFrame, crowds: DataFrame, links: DataFrame, perce
     return links.union(stored(full.groupBy("block").applyInArrow(run, "src long, dst long"), "near-met-links"))
 
 
+#: Bits of the map of wanted documents: 8 MB at any number of documents.
+MAP_BITS = 1 << 26
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``doc``, ``values``: the full sets of the ``wanted`` (doc_id, t, doc) documents.
+
+    A bit map of fixed size keeps most other texts out where they are read; a
+    fuller map lets more of them through, which the join then drops. Sets are
+    shuffled once.
+    """
+    spark = docs.sparkSession
+    bit = lambda: F.pmod(F.xxhash64(F.lit(11), "doc_id", "t"), F.lit(MAP_BITS))
+    marked = wanted.select(bit().alias("bit"))
+    marked = marked.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("bits"))
+    found = marked.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most MAP_BITS / 64 rows
+    table = np.zeros(MAP_BITS // 64, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(3).to_numpy()
+            held = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
+            values = [shingles(t, words).tobytes() for t in texts_of(held.column(2))]
+            yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(values, pa.binary())], ["doc_id", "t", "values"])
+
+    rows = docs.filter("doc_id is not null and text is not null").withColumn("t", F.xxhash64("text"))
+    rows = rows.select("doc_id", "t", "text", bit().alias("bit")).mapInArrow(full, "doc_id long, t long, values binary")
+    return rows.dropDuplicates(["doc_id", "t"]).join(wanted.select("doc_id", "t", "doc"), ["doc_id", "t"]).select("doc", "values")
+
+
 #: Shingles of a group that one task may compare as a whole (32 MB); larger groups go by their nodes.
 WHOLE_SHINGLES = 4_000_000
 
 
 def _judged(
-    docs: DataFrame, words: int, percent: int, trees: int, first_levels: int, more_levels: int, limit: int, rounds: int, whole: int
-) -> DataFrame:
+    docs: DataFrame, words: int, percent: int, trees: int, first_levels: int, more_levels: int, limit: int, rounds: int, whole: int,
+    piece: int,
+) -> DataFrame:
     """``doc_id``, ``t`` (hash of the text), ``n_shingles``, ``part`` (number of the component), ``component_id`` of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(_set_rows(docs, words), "near-sets")
@@ -486,22 +531,17 @@ def _judged(
     wide = blocks.join(wide_rows.select(F.col("node").alias("doc")), "doc", "left_semi")
     wanted = stored(
         classes.join(sized.filter("n > 1").select(F.col("node").alias("doc")), "doc", "left_semi")
-        .select("h1", "h2", "doc", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t")),
+        .select("doc", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t")),
         "near-wanted",
     )
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [shingles(t, words).tobytes() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], ["doc", "values"])
-
-    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted.select("doc_id", "t", "doc"), ["doc_id", "t"])
-    sets = stored(texts.select("doc", "text").mapInArrow(full, "doc long, values binary").dropDuplicates(["doc"]), "near-full")
+    sets = stored(_full_sets(docs, wanted, words), "near-full")
     links = stored(_confirmed(sets, groups, percent), "near-links")
     links = _confirmed_wide(sets, wide, wide_rows.select("component", "node", "n"), links, percent)
     if crowds is not None:  # the small groups were compared as a whole above
         crowds = crowds.join(wide_rows.select(F.col("node").alias("doc")), "doc", "left_semi")
-        links = _confirmed_apart(sets, crowds, stored(links, "near-links"), percent, max(1, whole // 2))
+        sizes = wide_rows.select(F.col("node").alias("doc"), "size")
+        links = _confirmed_apart(sets, crowds, stored(links, "near-links"), sizes, percent, piece)
     parts = connected_components(links).withColumnRenamed("node", "doc")
     labels = stored(
         classes.select("h1", "h2", "doc", "least.doc_id").join(parts, "doc", "left")
@@ -525,6 +565,7 @@ def near_duplicates(
     limit: int = 64,
     rounds: int = 2,
     whole: int = 256,
+    piece: int = 2_048,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -540,14 +581,14 @@ def near_duplicates(
     gives an empty result; other columns are ignored. ``trees`` and the levels
     set the recall of candidates; confirmation is exact on 64-bit shingle hashes.
     """
-    judged = _judged(docs, words, percent, trees, first_levels, more_levels, limit, rounds, whole)
+    judged = _judged(docs, words, percent, trees, first_levels, more_levels, limit, rounds, whole, piece)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return judged.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def deduplicated(
     docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, first_levels: int = 3, more_levels: int = 3,
-    limit: int = 64, rounds: int = 2, whole: int = 256,
+    limit: int = 64, rounds: int = 2, whole: int = 256, piece: int = 2_048,
 ) -> DataFrame:
     """``docs`` with one row of each component, one of its smallest id; all columns stay.
 
@@ -561,7 +602,7 @@ def deduplicated(
     What goes is joined by a hash table a task, so texts aren't sorted; only
     rows whose id and text occur again are grouped.
     """
-    judged = _judged(docs, words, percent, trees, first_levels, more_levels, limit, rounds, whole)
+    judged = _judged(docs, words, percent, trees, first_levels, more_levels, limit, rounds, whole, piece)
     texts = judged.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "part", "component_id", "t")
     texts = stored(texts.agg(F.count(F.lit(1)).alias("n")), "near-texts")
     named = texts.filter("doc_id = component_id")

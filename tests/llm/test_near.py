@@ -98,7 +98,7 @@ def test_a_large_group_whose_typical_pair_is_below_the_threshold(spark):
     group = [noisy(base, 5, rng) for _ in range(200)]
     rows = dict(enumerate(group)) | {1000 + k: noisy(group[rng.randrange(200)].split(), 3, rng) for k in range(100)}
     frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    got = near_dup.near_duplicates(frame, 3, 85, first_levels=1, limit=8, whole=16, rounds=0).collect()
+    got = near_dup.near_duplicates(frame, 3, 85, first_levels=1, limit=8, whole=16, rounds=0, piece=40).collect()
     want = brute(rows.items(), 3, 85)
     assert 100 < len({c for _, c in want.values()}) < 250
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
