@@ -99,7 +99,9 @@ class Flow:
         return Flow(O.concat(first, second), ("_part", PLACE))
 
     def join(self, other: Flow, on: Sequence[tuple[str, str]], kind: str = "inner") -> Flow:
-        return Flow(join(self.df, other.df, on, kind), self.order)
+        """These records with the other's fields; they keep their own place."""
+        places = [c for c in {PLACE, *other.order} if c in self.order]
+        return Flow(join(self.df, other.df.drop(*places), on, kind), self.order)
 
     def collate(self, keys: Sequence[str] = (), aggregates: Sequence[str] = (), **options) -> Flow:
         return Flow(C.collate(self.df, list(keys), list(aggregates), list(self.order) or None, **options))

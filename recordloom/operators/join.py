@@ -34,6 +34,9 @@ def join(
     over ``i.*`` (record of ``df``) and ``d.*`` (of ``other``); then only those
     and the fields of ``other`` are returned.
 
+    The value of ``other`` also replaces a column that gives ``df`` its order: drop
+    such a column from ``other`` first if the order is to stay.
+
     Spark chooses between a broadcast and a shuffle by the sides' sizes.
     """
     tests, a, b = [], df, other

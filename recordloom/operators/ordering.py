@@ -56,12 +56,21 @@ def topn(df: DataFrame, n: int = 10, keys: Sequence[str] = (), order: list[str]
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+def _rank(by: Sequence[str], order: list[str]) -> Column:
+    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+
+
+def head(df: DataFrame, n: int, order: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` records, of each group of ``by`` if given."""
+    if by:
+        return df.withColumn("_rank", _rank(by, order)).filter(F.col("_rank") <= n).drop("_rank")
     return df.orderBy(*order).limit(n)
 
 
-def skip(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """All but the first ``n`` records."""
+def skip(df: DataFrame, n: int, order: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """All but the first ``n`` records, of each group of ``by`` if given."""
+    if by:
+        return df.withColumn("_rank", _rank(by, order)).filter(F.col("_rank") > n).drop("_rank")
     return numbered(df, order).filter(F.col(PLACE) >= n).drop(PLACE)
 
 
@@ -77,9 +86,15 @@ def concat(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def uniq(df: DataFrame, keys: Sequence[str], order: list[str]) -> DataFrame:
-    """Drop records whose keys equal those of the record before; without keys one record is left."""
+def uniq(df: DataFrame, keys: Sequence[str], order: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """Drop records whose keys equal those of the record before; without keys one record is left.
+
+    ``by`` makes separate streams.
+    """
     paths = [p for key in keys for p in resolve(df.schema, key)]
+    if by:
+        values = [coerce.key_text(value(df, p), kind_of(df, p)) for p in paths]
+        return df.withColumn("_new", changed(values, Window.partitionBy(*by).orderBy(*order))).filter("_new").drop("_new")
     rows = chunked(numbered(df, order), 1, 0)
     values = [coerce.key_text(value(df, p), kind_of(df, p)) for p in paths]
     return own_rows(rows.withColumn("_new", changed(values, in_chunk()))).filter("_new").drop("_new", PLACE)

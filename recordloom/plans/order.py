@@ -14,41 +14,34 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.plans.store import keep
+
 PLACE = "_place"
 CHUNK = "_chunk"
 OWN = "_own"
-SAMPLE = 10_000
-
-
-def _range(df: DataFrame, key: str, parts: int) -> Column:
-    """Number of the range of ``key``; bounds come from a bounded sample, nulls go first."""
-    rows = df.select(F.col(key).alias("k")).filter("k is not null")
-    sample = rows.orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    values = sorted(r["k"] for r in sample.distinct().collect())
-    bounds = sorted({values[i * len(values) // parts] for i in range(1, parts)}) if len(values) > 1 else []
-    if not bounds:
-        return F.lit(0)
-    kind = df.schema[key].dataType.simpleString()
-    below = F.array_size(F.filter(F.lit(bounds).cast(f"array<{kind}>"), lambda b: b <= F.col(key)))
-    return F.coalesce(below, F.lit(0))
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Add ``_place``: 0, 1, 2, … in ascending order of ``order``, nulls first.
 
-    ``order`` must be total for a result without chance. Its first column
-    should be nearly distinct, as rows equal in it stay in one range.
+    Rows are dealt to ranges of all order columns together, so that a frequent
+    value in the first one is split like any other, sorted there and stored once
+    with their number within the range; the ranges' counts (one row a range)
+    make the numbers global. ``order`` must be total for a result without chance.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_range", _range(df, order[0], parts))
-    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # one row a range
-    before, pairs = 0, []
-    for number in sorted(counts):
-        pairs += [F.lit(number), F.lit(before)]
-        before += counts[number]
-    base = F.create_map(*pairs)[F.col("_range")] if pairs else F.lit(0)
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
-    return ranged.withColumn(PLACE, (base + within - 1).cast("long")).drop("_range")
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    sorted_ranges = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    held = keep(sorted_ranges.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    held = held.withColumn("_range", F.shiftright("_at", 33))
+    counts = sorted((r["_range"], r["count"]) for r in held.groupBy("_range").count().collect())
+    bases, before = [], 0
+    for number, count in counts:
+        bases.append((number, before - (number << 33)))
+        before += count
+    based = F.broadcast(spark.createDataFrame(bases, "_range bigint, _base bigint"))  # one row a range
+    return held.join(based, "_range").withColumn(PLACE, F.col("_at") + F.col("_base")).drop("_range", "_base", "_at")
 
 
 def chunked(rows: DataFrame, before: int, after: int, chunk: int = 65_536) -> DataFrame:

@@ -17,6 +17,7 @@ from recordloom.operators import ordering as O
 from recordloom.operators import reshape as S
 from recordloom.operators import rows as R
 from recordloom.operators.profile import profile
+from recordloom.plans.order import PLACE, numbered, placed
 from recordloom.sinks import writers
 from recordloom.sources import lines as L
 from recordloom.streaming import events as E
@@ -342,16 +343,17 @@ def domain_folds(spark, sf_dir):
 # --- join ------------------------------------------------------------------------------------
 
 _SIDES = """WITH i AS (SELECT o_orderkey AS id, o_custkey AS ref, o_orderstatus AS tag FROM orders),
-d AS (SELECT c_custkey AS cust, c_mktsegment AS tag, c_name FROM customer WHERE c_custkey % 3 = 0) """
+d AS (SELECT CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_custkey END AS cust, c_mktsegment AS tag, c_name FROM customer) """
 
 
 def _sides(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("ref"), F.col("o_orderstatus").alias("tag"))
-    customers = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0")
-    return orders, customers.select(F.col("c_custkey").alias("cust"), F.col("c_mktsegment").alias("tag"), "c_name")
+    # All customers, of whom one segment has no key, so that both sides have rows without a match.
+    key = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_custkey"))
+    return orders, table(spark, sf_dir, "customer").select(key.alias("cust"), F.col("c_mktsegment").alias("tag"), "c_name")
 
 
-_JOINED = "SELECT id, ref, cust, CASE WHEN cust IS NULL THEN i.tag ELSE d.tag END AS tag, c_name FROM i {} JOIN d ON ref = cust"
+_JOINED = "SELECT id, ref, cust, CASE WHEN c_name IS NULL THEN i.tag ELSE d.tag END AS tag, c_name FROM i {} JOIN d ON ref = cust"
 
 
 @query(_SIDES + _JOINED.format("INNER"))
@@ -403,9 +405,33 @@ def sort_top(spark, sf_dir):
     return O.sort(table(spark, sf_dir, "orders"), ["o_totalprice=-n"], ["o_orderkey"]).limit(100).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
+def _with_place(ordered):
+    """Each row's place in a sorted frame, so that the SQL twin sees the order."""
+    return numbered(placed(ordered), [PLACE]).withColumnRenamed(PLACE, "place")
+
+
+@query("""SELECT c_custkey, c_mktsegment, c_acctbal,
+row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) - 1 AS place FROM customer""")
 def sort_keys(spark, sf_dir):
-    return O.sort(table(spark, sf_dir, "customer"), ["c_mktsegment=*", "c_acctbal=-num"], ["c_custkey"]).select("c_custkey", "c_mktsegment", "c_acctbal")
+    ordered = O.sort(table(spark, sf_dir, "customer"), ["c_mktsegment=*", "c_acctbal=-num"], ["c_custkey"])
+    return _with_place(ordered).select("c_custkey", "c_mktsegment", "c_acctbal", "place")
+
+
+@query("""SELECT o.event_id, o.event_type, o.value, e.n, row_number() OVER (ORDER BY o.value, o.event_id) - 1 AS place
+FROM events o JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) e USING (event_type)""")
+def fluent_join(spark, sf_dir):
+    """Joined records keep the place that the sort gave them, though both sides have one."""
+    events = Flow(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), ("event_id",))
+    kinds = events.collate(["event_type"], ["n=count"]).df.withColumn("event_id", F.lit(-1).cast("bigint"))
+    joined = events.sort("value=n").join(Flow(kinds.withColumn(PLACE, F.lit(0)).drop("event_id"), (PLACE,)), [("event_type", "event_type")])
+    return numbered(joined.df, list(joined.order)).select("event_id", "event_type", "value", "n", F.col(PLACE).alias("place"))
+
+
+@query("""SELECT event_id, user_id, event_type FROM events
+QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id)""")
+def multiplex_uniq(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return S.by_group(rows, ["user_id"], O.uniq, keys=["event_type"], order=EVENTS)
 
 
 @query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 5")
@@ -424,9 +450,9 @@ def skip_first(spark, sf_dir):
     return O.skip(table(spark, sf_dir, "events"), 100, EVENTS).select("event_id")
 
 
-@query("SELECT event_id, value FROM events")
+@query("SELECT event_id, value, row_number() OVER (ORDER BY event_id DESC) - 1 AS place FROM events")
 def reverse(spark, sf_dir):
-    return O.reverse(table(spark, sf_dir, "events"), EVENTS).select("event_id", "value")
+    return _with_place(O.reverse(table(spark, sf_dir, "events"), EVENTS)).select("event_id", "value", "place")
 
 
 @query("SELECT n_name AS name, n_regionkey, NULL::INTEGER AS r_regionkey FROM nation UNION ALL SELECT r_name, NULL, r_regionkey FROM region")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from recordloom.functions.coerce import storable
 from recordloom.functions.keys import name_of, resolve, value
+from recordloom.plans.store import keep
 
 
 def json_values(df: DataFrame) -> DataFrame:
@@ -56,21 +57,21 @@ def csv_lines(df: DataFrame, keys: Sequence[str] = (), delimiter: str = ",") ->
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """Files that each hold one JSON array, one for each partition; memory stays at one record."""
-
-    def run(frames):
-        import pandas as pd
-
-        first = True
-        for frame in frames:
-            texts = frame["value"].tolist()
-            if texts:
-                texts[0] = ("[" if first else ",") + texts[0]
-                yield pd.DataFrame({"value": [texts[0], *["," + t for t in texts[1:]]]})
-                first = False
-        yield pd.DataFrame({"value": ["[]" if first else "]"]})
-
-    json_lines(df).mapInPandas(run, "value string").write.text(path)
+    """One JSON array: the files in ``path``, put together in the order of their names, are it.
+
+    The records are stored first. The smallest and the largest row number, one
+    row of a small aggregate, tell which record opens the array and which ends it.
+    """
+    rows = keep(json_lines(df).withColumn("_at", F.monotonically_increasing_id()), "json-array")
+    ends = rows.agg(F.min("_at").alias("a"), F.max("_at").alias("z")).first()
+    if ends["a"] is None:
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.text(path)
+        return
+    begin = F.when(F.col("_at") == ends["a"], "[").otherwise(",")
+    end = F.when(F.col("_at") == ends["z"], "]").otherwise("")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, "_at").sortWithinPartitions("_at")
+    ordered.select(F.concat(begin, "value", end).alias("value")).write.text(path)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str = "recs", drop: bool = False, **options: str) -> None:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from recordloom.flow import Flow
 from recordloom.operators.profile import profile
+from recordloom.plans.order import numbered
 
 ROWS = [{"x": 3, "g": "a", "l": [1, 2]}, {"x": 1, "g": "b", "l": []}, {"x": 2, "g": "b", "l": None}, {"x": 1, "g": "a", "l": [7]}]
 
@@ -31,6 +32,15 @@ def test_chain(flow):
     assert xs(flow.join(flow.head(1).map({"k": "{{g}}", "z": "{{x}}"}), [("g", "k")])) == [3, 1]
 
 
+def test_numbers_with_a_hot_first_key_and_with_nulls_only(spark):
+    rows = spark.range(500).selectExpr("if(id % 5 = 0, id, 7L) as a", "id as b", "cast(null as int) as n").repartition(6)
+    for order in (["a", "b"], ["n", "b"]):
+        got = [tuple(r) for r in numbered(rows, order).orderBy("_place").select("_place", *order).collect()]
+        want = sorted(([x["a"] if order[0] == "a" else None, x["b"]] for x in rows.collect()), key=lambda v: (v[0] or 0, v[1]))
+        assert got == [(k, *v) for k, v in enumerate(want)]
+    assert numbered(rows.limit(0), ["a", "b"]).count() == 0
+
+
 def test_order_is_asked_for(flow):
     with pytest.raises(ValueError):
         Flow(flow.df).head(1)
