@@ -372,19 +372,23 @@ def _confirmed_wide(sets: DataFrame, wide: DataFrame, members: DataFrame, links:
     return links.union(found).union(_confirmed(sets, rest, percent))
 
 
-def _rooms(crowds: DataFrame) -> DataFrame:
+def _rooms(crowds: DataFrame, piece_rows: int) -> DataFrame:
     """``room``, ``doc``, ``s0``, ``s1``: where all pairs have to meet.
 
     Nodes of several trees that share documents are one room if all its pairs
-    are no more than those of its nodes one by one, else each is its own.
+    are no more than those of its nodes one by one, or if its pieces hold fewer
+    rows than its nodes do and its pairs are at most 16 times theirs: a sketch
+    costs less to compare than a row to ship. Else each is its own.
     """
     sizes = stored(crowds.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lead")), "near-nodes")
     ends = crowds.join(sizes, "block").select(F.col("doc").alias("src"), F.col("lead").alias("dst"))
     parts = stored(connected_components(ends), "near-parts")
     whole = parts.groupBy("component").agg(F.count(F.lit(1)).alias("all"))
     apart = sizes.join(parts.withColumnRenamed("node", "lead"), "lead").select("block", "component", F.col("n").cast("double").alias("n"))
-    pairs = apart.groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
-    joint = pairs.join(whole, "component").filter(F.col("all").cast("double") * F.col("all") <= F.col("pairs"))
+    pairs = apart.groupBy("component").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    square = F.col("all").cast("double") * F.col("all")
+    lighter = (F.col("all") * F.ceil(F.col("all") / piece_rows) <= F.col("rows")) & (square <= 16 * F.col("pairs"))
+    joint = pairs.join(whole, "component").filter((square <= F.col("pairs")) | lighter)
     one = stored(apart.join(joint.select("component", F.lit(True).alias("joint")), "component", "left"), "near-joint")
     room = F.when(F.col("joint"), F.xxhash64(F.lit("joint"), "component")).otherwise(F.xxhash64("block"))
     rows = crowds.join(one.select("block", room.alias("room")), "block").select("room", "doc", "s0", "s1")
@@ -411,7 +415,11 @@ def _pieces(rows: DataFrame, piece_rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number), *batch.columns[1:5]], names)
 
     order = ["room", "c", "doc"]
-    ordered = rows.select("room", "doc", "c", "s0", "s1", "size").repartitionByRange(shuffle_parts(rows.sparkSession), *order)
+    # As many ranges as full pieces, for a range's end also ends a piece and every two pieces of a room meet.
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    full = max(1, -(-total["n"] // piece_rows), -(-total["size"] // PIECE_SHINGLES))
+    parts = min(shuffle_parts(rows.sparkSession), full)
+    ordered = rows.select("room", "doc", "c", "s0", "s1", "size").repartitionByRange(parts, *order)
     return ordered.sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
@@ -425,7 +433,7 @@ def _confirmed_apart(
     holds more than two pieces and a huge room spreads over all tasks.
     """
     parts = connected_components(links).withColumnRenamed("node", "doc")
-    rows = _rooms(crowds).join(parts, "doc", "left").join(sizes, "doc", "left").withColumn("c", F.coalesce("component", "doc"))
+    rows = _rooms(crowds, piece_rows).join(parts, "doc", "left").join(sizes, "doc", "left").withColumn("c", F.coalesce("component", "doc"))
     rows = stored(rows.drop("component"), "near-rooms")
     groups = rows.groupBy("room", "c").agg(F.count(F.lit(1)).alias("n"))
     open_rooms = groups.groupBy("room").agg(F.count(F.lit(1)).alias("cs")).filter("cs > 1").select("room")
@@ -565,7 +573,7 @@ def near_duplicates(
     limit: int = 64,
     rounds: int = 2,
     whole: int = 256,
-    piece: int = 2_048,
+    piece: int = 1_024,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -588,7 +596,7 @@ def near_duplicates(
 
 def deduplicated(
     docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 10, first_levels: int = 3, more_levels: int = 3,
-    limit: int = 64, rounds: int = 2, whole: int = 256, piece: int = 2_048,
+    limit: int = 64, rounds: int = 2, whole: int = 256, piece: int = 1_024,
 ) -> DataFrame:
     """``docs`` with one row of each component, one of its smallest id; all columns stay.
 
