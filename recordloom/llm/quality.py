@@ -154,8 +154,9 @@ def held_out(folds: int, held: int):
 def train(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabelled: int = 12_000) -> Model:
     """Fit on at most ``positives`` and ``unlabelled`` documents.
 
-    Positives are labelled good and not held out. Unlabelled documents are those
-    without a label, or any documents, their labels unseen, where all have one.
+    Positives are labelled good and not held out. The unlabelled sample is drawn
+    from all documents, their labels unseen, so it is what the corpus is, however
+    many of them have labels. Of the rows of one id the least text counts.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -163,10 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabelled
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     good = known.filter((F.col("quality") == 1) & ~held_out(FOLDS, HELD)).select("doc_id").distinct()
     good = ids.join(good, "doc_id", "left_semi").orderBy(*by_hash).limit(positives)
-    free = ids.join(known.select("doc_id"), "doc_id", "left_anti")
-    free = (ids if free.isEmpty() else free).orderBy(*by_hash).limit(unlabelled)
+    # Another order than the positives', of whom a fixed share would else come again.
+    free = ids.orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(unlabelled)
     chosen = good.withColumn("good", F.lit(True)).union(free.withColumn("good", F.lit(False)))
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")  # bounded by the two limits
+    # One row of each chosen id, however often it is repeated: what the driver gets is bounded by the two limits.
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
     found = _described(rows, "doc_id long, good boolean").orderBy("doc_id", "good", "features").toArrow()
     table = np.array(found.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
     mark = np.array(found.column("good").to_pylist(), bool)
@@ -188,7 +190,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, positives:
 
     ``score`` estimates the probability of label 1; ``predicted`` is 1 from
     ``threshold`` on. Texts alone are scored: no label, language, source or id.
-    Null and empty texts get the score of a text whose statistics are all 0.
+    Whole texts are described, however long. Null and empty texts get the score of a text whose statistics are all 0.
     Null ids, repeated rows and ties keep their rows. With no positives or no
     documents to compare with, every score is the same, 0.73. Labels that are
     null, or of unknown documents, are ignored; other columns are ignored.
@@ -210,7 +212,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, positives:
 def accepted(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.7, positives: int = 6_000, unlabelled: int = 12_000
 ) -> DataFrame:
-    """The rows of ``docs`` that :func:`score` predicts as 1, with all columns; no shuffle."""
+    """The rows of ``docs`` that :func:`score` predicts as 1, with all columns; no shuffle.
+
+    Every row is judged by its own text: null ids and repeated rows stay or go
+    like any other, null and empty texts like a text whose statistics are all 0,
+    very long ones as a whole. Clashing columns are only passed on. An empty table
+    gives an empty result.
+    """
     model = docs.sparkSession.sparkContext.broadcast(
         train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, positives, unlabelled)
     )

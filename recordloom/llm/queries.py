@@ -97,15 +97,17 @@ _REACH = """reach AS (SELECT id, id AS root FROM nodes UNION SELECT l.b, r.root
 part AS (SELECT id, min(root) AS component_id FROM reach GROUP BY 1)"""
 
 
-def _url_sql(rounds: int = 10, damping: float = 0.85) -> str:
-    """The same walk with one common table expression a round."""
+def _url_sql(damping: float = 0.85, tolerance: float = 0.01) -> str:
+    """The same walk with one common table expression a round, without an early end."""
+    rounds = url_filter.rounds_for(damping, tolerance)
     upper, lower = url_filter.UPPER, url_filter.LOWER
     fits = []
     for rule in sorted(url_filter.RULES, key=lambda r: (-len(r.text), r.verdict != "block", r.text)):
         test = f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
         fits.append((test, rule))
     case = lambda of: "CASE " + " ".join(f"WHEN {t} THEN '{of(r)}'" for t, r in fits) + " END"
-    href = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^/?#"''\s>]+)"""
+    href = url_filter.LINK.replace("'", "''")
+    target = "CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END"
     host = lambda c: f"translate(regexp_extract({c}, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}')"
     steps = ["r0 AS (SELECT host, t0 AS t, d0 AS d FROM seeds)"]
     for k in range(1, rounds + 1):
@@ -116,10 +118,10 @@ def _url_sql(rounds: int = 10, damping: float = 0.85) -> str:
     return f"""WITH parts AS (SELECT page_id, coalesce({host("url")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
     ruled AS (SELECT *, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS ruling FROM parts),
     hosts AS (SELECT host, count(*) FILTER (WHERE ruling = 'allow') AS a, count(*) FILTER (WHERE ruling = 'block') AS b FROM ruled WHERE host <> '' GROUP BY 1),
-    links AS (SELECT host AS src, {host("link")} AS dst FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1)) AS link FROM parts)),
-    labels AS (SELECT host AS src, string_split(host, '.') AS l FROM hosts),
-    ups AS (SELECT src, k, array_to_string(l[k:], '.') AS dst FROM (SELECT src, l, unnest(range(2, len(l) + 1)) AS k FROM labels)),
-    up AS (SELECT src, arg_min(dst, k) AS dst FROM ups WHERE dst IN (SELECT host FROM hosts) GROUP BY 1),
+    links AS (SELECT host AS src, {host(target)} AS dst FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1)) AS link FROM parts)),
+    labels AS (SELECT string_split(host, '.') AS l FROM (SELECT host FROM hosts UNION SELECT dst FROM links WHERE src <> '' AND dst <> '' AND src <> dst)),
+    up AS (SELECT DISTINCT src, dst FROM (SELECT array_to_string(l[k:], '.') AS src, array_to_string(l[k + 1:], '.') AS dst
+    FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM labels WHERE len(l) > 2)) WHERE src <> dst AND src <> '' AND dst <> ''),
     edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, count(*)::DOUBLE AS w FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2
     UNION ALL SELECT src, dst, 1.0 FROM up UNION ALL SELECT dst, src, 1.0 FROM up) GROUP BY 1, 2),
     every AS (SELECT host, sum(a) AS a, sum(b) AS b FROM (SELECT * FROM hosts UNION ALL SELECT src, 0, 0 FROM edges UNION ALL SELECT dst, 0, 0 FROM edges) GROUP BY 1),
