@@ -209,7 +209,11 @@ def read_store(spark: SparkSession, out: str, with_ids: bool = False) -> DataFra
 
 
 def lookup(spark: SparkSession, out: str, doc_ids: list[int]) -> dict[int, list[int]]:
-    """Ids of a few documents; only packs whose range holds one of them are read."""
+    """Ids of a few documents; only packs whose range holds one of them are read.
+
+    A document that isn't there is missing in the result; of several with one id the
+    first counts. A pack of another dictionary is an error, as in :func:`read_store`.
+    """
     digest, data = _store_dictionary(spark, out)
     ranges = F.lit(False)
     for doc in doc_ids:
@@ -217,8 +221,10 @@ def lookup(spark: SparkSession, out: str, doc_ids: list[int]) -> dict[int, list[
     unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(data))
     found: dict[int, list[int]] = {}
     for row in spark.read.parquet(f"{out}/packs").filter(ranges).toLocalIterator():
+        if row["dictionary_hash"] != digest:
+            raise ValueError(f"a pack of {out} was written with another dictionary")
         for k, doc in enumerate(row["doc_ids"]):
-            if doc in doc_ids and doc not in found and row["dictionary_hash"] == digest:
+            if doc in doc_ids and doc not in found:
                 lo = row["ends"][k - 1] if k else 0
                 frame = bytes(row["payload"][lo : row["ends"][k]])
                 found[doc] = np.frombuffer(unpacker.decompress(frame), f"<u{row['id_bytes']}").tolist()

@@ -34,5 +34,24 @@ def test_stages_filter_what_the_one_before_kept(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_duplicates", "decontamination", "packing"]
 
 
+def test_stages_on_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns; then no rows at all."""
+    ids = lambda d: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in d.select("doc_id").collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, SF)
+        if name == "packing":
+            assert set(ids(out)) == set(ids(odd_docs))
+        else:
+            assert out.columns == odd_docs.columns
+            left = ids(out)
+            if name == "near_duplicates":
+                assert len(left) == len(set(left)) and {-1, 1, 2, 3, 4, 5} <= set(left) and not {6, 15} & set(left)
+            elif name == "decontamination":
+                assert left == ids(odd_docs)
+            else:  # equal texts and repeated rows share their fate
+                assert left.count(15) in (0, 2) and (1 in left) == (15 in left) and (5 in left) == (6 in left) and (2 in left) == (3 in left)
+        assert stage(spark, no_docs, SF).count() == 0
+
+
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
