@@ -21,13 +21,24 @@ from recordloom.functions.keys import kind_of, value
 
 @dataclass
 class Aggregate:
-    """``bases`` are aggregate functions; ``finish`` turns their results into the value."""
+    """``bases`` are aggregate functions; ``finish`` turns their results into the value.
+
+    One that has both forms uses ``by_value`` for groups and ``bases`` over windows.
+    """
 
     bases: list[Column] = field(default_factory=list)
     finish: Callable[..., Column] = lambda x: x
-    #: Two levels: values are counted first; ``outer`` aggregates s (value), ct (count), o (first place).
+    #: Two levels: values are counted first; ``outer`` aggregates s (value), ct (count), o (first place),
+    #: c (``carried`` of the value's last record) and, if ``ranked``, upto (records of the group up to the
+    #: value, itself included) and all (those of the group).
     by_value: Column | None = None
     outer: Callable[[], Column] | None = None
+    carried: Column | None = None
+    ranked: bool = False
+    #: Aggregates with the same one read the same counted values, which are then counted once.
+    shared: tuple | None = None
+    #: The result of a group without values, if not null.
+    empty: Callable[[], Column] | None = None
 
 
 class Fields:
@@ -133,19 +144,38 @@ def _ranked(values: Column, share: float) -> Column:
     return F.get(values, at.cast("int"))
 
 
+def _plain_field(kind: str, path: str | Column) -> tuple | None:
+    return (kind, path) if isinstance(path, str) else None
+
+
+def _at_rank(share: float) -> Column:
+    """The same from counted values: the least one that more records than the rank reach up to."""
+    rank = F.least(F.floor(F.col("all") * float(share) / 100), F.col("all") - 1)
+    return F.min(F.when(F.col("upto") > rank, F.col("s")))
+
+
 def _percentile(f: Fields, share: str, x: str) -> Aggregate:
-    return Aggregate([F.collect_list(f.number(x))], lambda v: _ranked(F.array_sort(v), float(share)))
+    v = f.number(x)
+    return Aggregate(
+        [F.collect_list(v)], lambda v: _ranked(F.array_sort(v), float(share)),
+        by_value=v, outer=lambda: _at_rank(float(share)), ranked=True, shared=_plain_field("number", x),
+    )
 
 
 def _percentile_map(f: Fields, shares: str, x: str) -> Aggregate:
-    wanted = shares.split()
+    wanted, v = shares.split(), f.number(x)
+    named = F.array(*map(F.lit, wanted))
+    empty = lambda: F.create_map().cast("map<string,double>")
 
     def finish(v):
         ranked = F.array_sort(v)
-        made = F.map_from_arrays(F.array(*map(F.lit, wanted)), F.array(*[_ranked(ranked, float(s)) for s in wanted]))
-        return F.when(F.array_size(v) > 0, made).otherwise(F.create_map().cast("map<string,double>"))
+        made = F.map_from_arrays(named, F.array(*[_ranked(ranked, float(s)) for s in wanted]))
+        return F.when(F.array_size(v) > 0, made).otherwise(empty())
 
-    return Aggregate([F.collect_list(f.number(x))], finish)
+    def outer():
+        return F.when(F.count("s") > 0, F.map_from_arrays(named, F.array(*[_at_rank(float(s)) for s in wanted])))
+
+    return Aggregate([F.collect_list(v)], finish, by_value=v, outer=outer, ranked=True, empty=empty, shared=_plain_field("number", x))
 
 
 def _first(f: Fields, x: str) -> Aggregate:
@@ -182,11 +212,17 @@ def _values_to_keys(f: Fields, k: str, v: str) -> Aggregate:
         last = lambda n: F.element_at(F.filter(ordered, lambda e: e["k"] == n), -1)["v"]
         return F.map_from_arrays(names, F.transform(names, last))
 
-    return Aggregate([pairs], finish)
+    def outer():
+        ordered = F.array_sort(F.collect_list(F.struct("o", "s", "c")))
+        return F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["s"], e["c"])))
+
+    kind = f.kind(v).simpleString()
+    empty = lambda: F.create_map().cast(f"map<string,{kind}>")
+    return Aggregate([pairs], finish, by_value=named, outer=outer, carried=f.raw(v), empty=empty)
 
 
 def _by_value(outer: Callable[[], Column]):
-    return lambda f, x: Aggregate(by_value=f.text(x), outer=outer)
+    return lambda f, x: Aggregate(by_value=f.text(x), outer=outer, shared=_plain_field("text", x))
 
 
 _KINDS: dict[str, tuple[int, Callable[..., Aggregate], str]] = {

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def subset(condition: str | Column, inner: Maker) -> Maker:
         meets = F.coalesce(expression(fields.df, condition), F.lit(False))
         part = inner(_Subset(fields, meets))
         if part.by_value is not None:
-            return Aggregate(by_value=F.when(meets, part.by_value), outer=part.outer)
+            return replace(part, by_value=F.when(meets, part.by_value), empty=None, shared=None)
         return Aggregate([*part.bases, F.count_if(meets)], lambda *x: F.when(x[-1] > 0, part.finish(*x[:-1])))
 
     return made
@@ -64,9 +65,9 @@ def transformed(inner: Maker, change: Callable[[Column], Column]) -> Maker:
 
     def made(fields: Fields) -> Aggregate:
         part = inner(fields)
-        if part.by_value is not None:
-            return Aggregate(by_value=part.by_value, outer=lambda: change(part.outer()))
-        return Aggregate(part.bases, lambda *x: change(part.finish(*x)))
+        finish = lambda *x: change(part.finish(*x))
+        outer = part.outer and (lambda: change(part.outer()))
+        return replace(part, finish=finish, outer=outer, empty=part.empty and (lambda: change(part.empty())))
 
     return made
 
@@ -93,7 +94,7 @@ def for_fields(first: str, second: str, inner: Callable[[str, str], Maker]) -> M
 
 
 def _struct(parts: list[tuple[str, Aggregate]]) -> Aggregate:
-    if any(p.by_value is not None for _, p in parts):
+    if any(not p.bases for _, p in parts):
         raise ValueError("aggregates by value can't be repeated over fields")
     bases = [b for _, p in parts for b in p.bases]
 

@@ -55,6 +55,9 @@ def collate(
     value. ``cube`` adds every combination with ``ALL`` in place of a key (keys
     become text then; a null key stays apart from ``ALL``). Without keys there
     is one group; an empty table has none at all.
+
+    Ranks are found among the counted values of all groups, numbered together,
+    so no group's values meet in one list or task.
     """
     found = _keys(df, keys)
     names = [n for n, _, _ in found]
@@ -68,32 +71,41 @@ def collate(
         else:
             work = work.withColumn(f"_key{k}", column)
         by.append(f"_key{k}")
-    bases = [b.alias(f"_a{i}_{j}") for i, (_, a) in enumerate(made) for j, b in enumerate(a.bases)]
+    bases = [b.alias(f"_a{i}_{j}") for i, (_, a) in enumerate(made) if a.by_value is None for j, b in enumerate(a.bases)]
     if as_text and not cube:
         place = Fields(df, order).place
         bases += [F.min_by(f"_first{k}", place).alias(f"_shown{k}") for k in range(len(found))]
     if cube:
         bases += [F.grouping(c).alias(f"_all{c}") for c in by]
     grouped = (work.cube(*by) if cube else work.groupBy(*by)).agg(F.count(F.lit(1)).alias("_n"), *bases)
+    alike: dict = {}
     for i, (_, part) in enumerate(made):
         if part.by_value is not None:
-            inner = work.withColumn("s", part.by_value).withColumn("_o", Fields(df, order).place if order else F.lit(0))
-            if cube:
-                sets = inner.select(*by, "s", "_o")
-                counted = sets.cube(*by, "s").agg(
-                    F.count(F.lit(1)).alias("ct"), F.min("_o").alias("o"), F.grouping("s").alias("_gs"), *[F.grouping(c).alias(f"_all{c}") for c in by]
-                ).filter("_gs = 0")
-                keys_now = [*by, *[f"_all{c}" for c in by]]
-            else:
-                counted = inner.groupBy(*by, "s").agg(F.count(F.lit(1)).alias("ct"), F.min("_o").alias("o"))
-                keys_now = by
-            outer = counted.filter("s is not null").groupBy(*keys_now).agg(part.outer().alias(f"_v{i}"))
-            if keys_now:
-                outer = outer.toDF(*[f"_r{c}" if c in keys_now else c for c in outer.columns])
-                match = reduce(lambda a, b: a & b, [grouped[c].eqNullSafe(outer[f"_r{c}"]) for c in keys_now])
-                grouped = grouped.join(outer, match, "left").drop(*[f"_r{c}" for c in keys_now])
-            else:
-                grouped = grouped.crossJoin(outer)  # one row on either side
+            alike.setdefault(part.shared or i, []).append(i)
+    for together in alike.values():
+        part = made[together[0]][1]
+        place = Fields(df, order).place if order else F.lit(0)
+        carried = F.lit(None) if part.carried is None else part.carried
+        inner = work.select(*by, part.by_value.alias("s"), place.alias("_o"), carried.alias("_c"))
+        sums = [F.count(F.lit(1)).alias("ct"), F.min("_o").alias("o"), F.max_by("_c", "_o").alias("c")]
+        sums = sums if part.carried is not None else sums[:2]
+        if cube:
+            marks = [F.grouping(c).alias(f"_all{c}") for c in by]
+            counted = inner.cube(*by, "s").agg(*sums, F.grouping("s").alias("_gs"), *marks).filter("_gs = 0")
+            keys_now = [*by, *[f"_all{c}" for c in by]]
+        else:
+            counted = inner.groupBy(*by, "s").agg(*sums)
+            keys_now = by
+        counted = counted.filter("s is not null")
+        if part.ranked:
+            counted = _up_to(counted, keys_now)
+        outer = counted.groupBy(*keys_now).agg(*[made[i][1].outer().alias(f"_v{i}") for i in together])
+        if keys_now:
+            outer = outer.toDF(*[f"_r{c}" if c in keys_now else c for c in outer.columns])
+            match = reduce(lambda a, b: a & b, [grouped[c].eqNullSafe(outer[f"_r{c}"]) for c in keys_now])
+            grouped = grouped.join(outer, match, "left").drop(*[f"_r{c}" for c in keys_now])
+        else:
+            grouped = grouped.crossJoin(outer)  # one row on either side
     for k, name in enumerate(names):
         if cube:
             shown.append(F.when(F.col(f"_all_key{k}") == 1, ALL).otherwise(F.col(f"_key{k}")).alias(name))
@@ -101,16 +113,34 @@ def collate(
             shown.append(F.col(f"_shown{k}" if as_text else f"_key{k}").alias(name))
     values = []
     for i, (name, part) in enumerate(made):
-        done = F.col(f"_v{i}") if part.by_value is not None else part.finish(*[F.col(f"_a{i}_{j}") for j in range(len(part.bases))])
+        if part.by_value is None:
+            done = part.finish(*[F.col(f"_a{i}_{j}") for j in range(len(part.bases))])
+        else:
+            done = F.coalesce(F.col(f"_v{i}"), part.empty()) if part.empty else F.col(f"_v{i}")
         values.append(done.alias(name))
     return grouped.filter("_n > 0").select(*shown, *values)
 
 
+def _up_to(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Counted values with ``upto``, the records of their group up to them, and ``all``, those of the group.
+
+    A running sum over the values of all groups in order, less what lies before the group.
+    """
+    rows = running(numbered(counted.select(*keys, "s", "ct"), [*keys, "s"]), F.col("ct"), "_sum").drop(PLACE)
+    groups = rows.groupBy(*keys).agg(F.min(F.col("_sum") - F.col("ct")).alias("_from"), F.sum("ct").alias("all"))
+    if keys:
+        groups = groups.toDF(*[f"_g{c}" if c in keys else c for c in groups.columns])
+        rows = rows.join(groups, reduce(lambda a, b: a & b, [rows[c].eqNullSafe(groups[f"_g{c}"]) for c in keys]))
+    else:
+        rows = rows.crossJoin(groups)  # one row
+    return rows.select(*keys, "s", "ct", (F.col("_sum") - F.col("_from")).alias("upto"), "all")
+
+
 def _over(df: DataFrame, made: list[tuple[str, Aggregate]], over) -> DataFrame:
     """Aggregates as columns over a window."""
     out = df
     for name, part in made:
-        if part.by_value is not None:
+        if not part.bases:
             raise ValueError(f"{name}: aggregates by value aren't available record by record")
         out = out.withColumn(name, part.finish(*[b.over(over) for b in part.bases]))
     return out

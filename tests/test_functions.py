@@ -155,3 +155,15 @@ def test_windows(rows):
     runs = collate_adjacent(rows, ["g"], ["n=count"], ["o"]).orderBy("run").collect()
     assert [(r["g"], r["n"]) for r in runs] == [("a", 2), (None, 1), ("", 1), ("a", 1), ("b", 1)]
     assert [r["n"] for r in collate_each(rows, ["g"], ["n=count", "m=mode,s"], ["o"]).orderBy("o").collect()] == [3, 3, 1, 1, 3, 1]
+
+
+def test_percentiles_by_group_and_cube(spark):
+    frame = spark.createDataFrame([(k, g, float(x)) for k in "ab" for g in "xy" for x in range(4 if k == "a" else 1)], "k string, g string, x double")
+    frame = frame.union(spark.createDataFrame([("n", "x", None)], frame.schema))
+    specs = ["p=perc,50,x", "m=percmap,0 100,x", "n=dcount,x"]
+    got = {(r["k"], r["g"]): (r["p"], r["m"], r["n"]) for r in collate(frame, ["k", "g"], specs, cube=True).collect()}
+    assert got["a", "x"] == (2.0, {"0": 0.0, "100": 3.0}, 4) and got["b", "y"] == (0.0, {"0": 0.0, "100": 0.0}, 1)
+    assert got["a", "ALL"] == (2.0, {"0": 0.0, "100": 3.0}, 4) and got["ALL", "ALL"] == (1.0, {"0": 0.0, "100": 3.0}, 4)
+    assert got["n", "x"] == (None, {}, None)
+    high = [("h", domain.subset("{{x}} > 1", domain.named("percentile", "50", "x"))), ("p", domain.named("percentile", "50", "x"))]
+    assert {r["k"]: (r["h"], r["p"]) for r in collate(frame, ["k"], high).collect()} == {"a": (3.0, 2.0), "b": (None, 0.0), "n": (None, None)}
