@@ -43,6 +43,10 @@ class Flow:
     def from_json_lines(cls, spark: SparkSession, path: str, schema: str | None = None) -> Flow:
         return cls(L.read_json_lines(spark, path, schema))
 
+    @classmethod
+    def from_json_array(cls, spark: SparkSession, path: str, schema: str | None = None) -> Flow:
+        return cls(L.read_json_array(spark, path, schema=schema))
+
     def then(self, operator: Callable[..., DataFrame], *arguments, ordered: bool = False, **options) -> Flow:
         """Apply any operator; ``ordered`` passes the order on."""
         if ordered:
@@ -109,6 +113,20 @@ class Flow:
     def json_lines(self) -> DataFrame:
         return writers.json_lines(self.df)
 
+    def _written(self) -> DataFrame:
+        """The records in order, without a place that a flow added."""
+        ordered = self.df.orderBy(*self.order) if self.order else self.df
+        return ordered.drop(PLACE) if PLACE in self.order else ordered
+
+    def to_json_lines(self, path: str) -> None:
+        writers.write_json_lines(self._written(), path)
+
+    def to_json_array(self, path: str) -> None:
+        writers.write_json_array(self._written(), path)
+
+    def to_csv(self, path: str, keys: Sequence[str] = (), header: bool = True, delimiter: str = ",") -> None:
+        writers.write_csv(self._written(), path, keys, header, delimiter)
+
     def records(self, most: int = 10_000) -> list[dict]:
         """The first ``most`` records as dicts, in order."""
         rows = self.df.orderBy(*self.order) if self.order else self.df

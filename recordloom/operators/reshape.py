@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from recordloom.functions import coerce
 from recordloom.functions.keys import kind_of, name_of, resolve, value
+from recordloom.operators.ordering import sort_columns
 
 
 def split_out(df: DataFrame, old: str, delimiter: str, new: str) -> DataFrame:
@@ -102,16 +103,10 @@ def stream_to_table(df: DataFrame, field: str, order: list[str]) -> DataFrame:
     return rows.groupBy("i").pivot("_g").agg(F.first("_r"))
 
 
-def pivot(
-    df: DataFrame, x: Sequence[str], y: Sequence[str], values: Sequence[str], order: list[str],
-    pins: dict[str, str] | None = None, separator: str = "_",
-) -> DataFrame:
-    """A grid: one record for each combination of ``y``, one column for each of ``x``.
-
-    ``FIELD`` in either axis stands for the names of the value fields. Each
-    cell holds the last value in stream order. ``pins`` keep only records with
-    such values (as text). Columns are named by the x values, joined.
-    """
+def _cells(
+    df: DataFrame, x: Sequence[str], y: Sequence[str], values: Sequence[str], order: list[str], pins: dict[str, str] | None
+) -> DataFrame:
+    """One row for each value of each record: ``_x0…`` and ``_y0…`` as text, ``_v``, and its place ``_o``."""
     for name, wanted in (pins or {}).items():
         if name != "FIELD":
             df = df.filter(coerce.key_text(value(df, name), kind_of(df, name)) == wanted)
@@ -119,12 +114,65 @@ def pivot(
             values = [v for v in values if v == wanted]
     pairs = F.array(*[F.struct(F.lit(v).alias("f"), coerce.text(value(df, v), kind_of(df, v)).alias("v")) for v in values])
     rows = df.select("*", F.explode(pairs).alias("_p")).filter("_p.v is not null")
-    named = lambda axis: [(F.col("_p.f") if a == "FIELD" else coerce.key_text(value(df, a), kind_of(df, a))) for a in axis]
+    named = lambda a: F.col("_p.f") if a == "FIELD" else coerce.key_text(value(df, a), kind_of(df, a))
+    axes = [named(a).alias(f"_{axis}{k}") for axis, names in (("x", x), ("y", y)) for k, a in enumerate(names)]
     place = F.struct(*[F.col(c) for c in order])
-    across = F.concat_ws(separator, *named(x)) if x else F.lit("VALUE")
-    down = [c.alias(name_of(a)) for a, c in zip(y, named(y))]
-    rows = rows.select(*down, across.alias("_x"), F.col("_p.v").alias("_v"), place.alias("_o"))
-    return rows.groupBy(*[name_of(a) for a in y]).pivot("_x").agg(F.max_by("_v", "_o"))
+    return rows.select(*axes, F.col("_p.v").alias("_v"), place.alias("_o"))
+
+
+def _sorted(rows: DataFrame, names: Sequence[str], specs: Sequence[str]) -> DataFrame:
+    """Rows by the sort keys that name one of their columns."""
+    wanted = [s for group in specs for s in group.split(",") if s.partition("=")[0] in names]
+    return rows.orderBy(*sort_columns(rows, wanted)) if wanted else rows
+
+
+def pivot(
+    df: DataFrame, x: Sequence[str], y: Sequence[str], values: Sequence[str], order: list[str],
+    pins: dict[str, str] | None = None, separator: str = "_", sort: Sequence[str] = (), all_last: bool = False,
+) -> DataFrame:
+    """A grid: one record for each combination of ``y``, one column for each of ``x``.
+
+    ``FIELD`` in either axis stands for the names of the value fields. Each
+    cell holds the last value in stream order. ``pins`` keep only records with
+    such values (as text). Columns are named by the x values, joined. ``sort``
+    keys (as for ``sort``) on fields of the axes order columns and records;
+    ``all_last`` does so for every field, with the value ALL last.
+    """
+    if sort and all_last:
+        raise ValueError("sort and all_last exclude each other")
+    specs = [f"{a}=*" for a in [*x, *y]] if all_last else sort
+    cells = _cells(df, x, y, values, order, pins)
+    across = F.concat_ws(separator, *[f"_x{k}" for k in range(len(x))]) if x else F.lit("VALUE")
+    down, best = [name_of(a) for a in y], F.max_by("_v", "_o")
+    rows = cells.select(*[F.col(f"_y{k}").alias(n) for k, n in enumerate(down)], across.alias("_x"), "_v", "_o")
+    columns = None
+    if specs and x:
+        named = cells.select(*[F.col(f"_x{k}").alias(a) for k, a in enumerate(x)]).distinct()
+        most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        found = _sorted(named, x, specs).limit(most + 1).collect()
+        _bounded(len(found), most)
+        columns = list(dict.fromkeys(separator.join(r) for r in found))
+    return _sorted(rows.groupBy(*down).pivot("_x", columns).agg(best), down, specs)
+
+
+def pivot_records(
+    df: DataFrame, x: Sequence[str], y: Sequence[str], values: Sequence[str], order: list[str], pins: dict[str, str] | None = None
+) -> DataFrame:
+    """The grid as nested records: ``y`` fields, and under the first ``x`` field a map by its values.
+
+    Each value of the map is the cell, or holds the next ``x`` field's map in
+    the same way. Nothing is pivoted, so the values of ``x`` can be many.
+    """
+    if not x:
+        raise ValueError("nested records need a field across")
+    by = [f"_y{k}" for k in range(len(y))]
+    inner = [f"_x{k}" for k in range(len(x))]
+    rows = _cells(df, x, y, values, order, pins).groupBy(*by, *inner).agg(F.max_by("_v", "_o").alias("_v"))
+    for k in reversed(range(len(x))):
+        pairs = F.map_from_entries(F.collect_list(F.struct(f"_x{k}", "_v")))
+        held = pairs if k == 0 else F.struct(pairs.alias(name_of(x[k])))
+        rows = rows.groupBy(*by, *inner[:k]).agg(held.alias("_v"))
+    return rows.select(*[F.col(c).alias(name_of(a)) for c, a in zip(by, y)], F.col("_v").alias(name_of(x[0])))
 
 
 def by_group(df: DataFrame, groups: Sequence[str], operator, **options) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,12 +104,36 @@ def prune(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c in keep])
 
 
-def expand_json(df: DataFrame, keys: Sequence[str] = (), schema: dict[str, str] | None = None) -> DataFrame:
+#: Text that is taken for JSON: an object, array, quoted string, true, false or null.
+_SHAPED = r'(?s)^(\{.*\}|\[.*\]|".*"|true|false|null)$'
+
+
+def _opened(item: Any) -> Any:
+    """A JSON value with the JSON texts inside it replaced by their values, all the way down."""
+    if isinstance(item, str) and re.match(_SHAPED, item.strip()):
+        try:
+            return _opened(json.loads(item.strip()))
+        except ValueError:
+            return item
+    if isinstance(item, list):
+        return [_opened(e) for e in item]
+    return {k: _opened(e) for k, e in item.items()} if isinstance(item, dict) else item
+
+
+@F.pandas_udf(T.StringType())
+def _opened_text(column: pd.Series) -> pd.Series:
+    return column.map(lambda text: None if text is None else json.dumps(_opened(text)))
+
+
+def expand_json(
+    df: DataFrame, keys: Sequence[str] = (), schema: dict[str, str] | None = None, recursive: bool = False
+) -> DataFrame:
     """Parse JSON text in fields into values.
 
     A field with a ``schema`` (DDL) becomes that type; others become VARIANT,
     where text that isn't an object, array, quoted string, true, false or null
-    stays text. Without keys all top-level text fields are tried.
+    stays text. Without keys all top-level text fields are tried. ``recursive``
+    also parses texts inside the parsed values, however deep.
     """
     schema = schema or {}
     paths = [p for key in keys for p in resolve(df.schema, key)]
@@ -117,10 +144,9 @@ def expand_json(df: DataFrame, keys: Sequence[str] = (), schema: dict[str, str]
             continue
         column = found[0]
         if path in schema:
-            df = assign(df, path, F.from_json(column, schema[path]))
+            df = assign(df, path, F.from_json(_opened_text(column) if recursive else column, schema[path]))
         else:
-            shaped = F.trim(column).rlike(r'(?s)^(\{.*\}|\[.*\]|".*"|true|false|null)$')
-            parsed = F.when(shaped, F.try_parse_json(column))
+            parsed = F.when(F.trim(column).rlike(_SHAPED), F.try_parse_json(_opened_text(column) if recursive else column))
             df = assign(df, path, F.coalesce(parsed, _text_variant(column)))
     return df
 

@@ -74,16 +74,33 @@ def write_json_array(df: DataFrame, path: str) -> None:
     ordered.select(F.concat(begin, "value", end).alias("value")).write.text(path)
 
 
-def write_jdbc(df: DataFrame, url: str, table: str = "recs", drop: bool = False, **options: str) -> None:
-    flat(df).write.mode("overwrite" if drop else "append").format("jdbc").options(url=url, dbtable=table, **options).save()
+def _typed(keys: Sequence[str]) -> tuple[list[str], dict[str, str]]:
+    """Paths, and the SQL types by column name, of ``path`` or ``path=TYPE`` keys."""
+    pairs = [key.partition("=") for key in keys]
+    return [path for path, _, _ in pairs], {name_of(path): kind for path, _, kind in pairs if kind}
 
 
-def write_sqlite(df: DataFrame, file: str, table: str = "recs", drop: bool = False) -> None:
-    """Append flat records to a database file on the driver, streamed a partition at a time."""
-    frame = flat(df)
-    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "INTEGER", "binary": "BLOB"}
-    columns = ", ".join(f'"{n}" {kinds.get(k, "VARCHAR(255)")}' for n, k in frame.dtypes)
-    shown = [F.col(f"`{n}`") if k in kinds else F.col(f"`{n}`").cast("string") for n, k in frame.dtypes]
+def write_jdbc(
+    df: DataFrame, url: str, table: str = "recs", drop: bool = False, keys: Sequence[str] = (), **options: str
+) -> None:
+    """Append flat records to a table; ``keys`` choose fields, each with an SQL type if given as ``field=TYPE``."""
+    paths, kinds = _typed(keys)
+    if kinds:
+        options["createTableColumnTypes"] = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
+    flat(df, paths).write.mode("overwrite" if drop else "append").format("jdbc").options(url=url, dbtable=table, **options).save()
+
+
+def write_sqlite(df: DataFrame, file: str, table: str = "recs", drop: bool = False, keys: Sequence[str] = ()) -> None:
+    """Append flat records to a database file on the driver, streamed a partition at a time.
+
+    For results that fit in one file; large ones go through ``write_jdbc``.
+    ``keys`` choose fields, each with an SQL type if given as ``field=TYPE``.
+    """
+    paths, given = _typed(keys)
+    frame = flat(df, paths)
+    known = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "boolean": "INTEGER", "binary": "BLOB"}
+    columns = ", ".join(f'"{n}" {given.get(n) or known.get(k, "VARCHAR(255)")}' for n, k in frame.dtypes)
+    shown = [F.col(f"`{n}`") if k in known else F.col(f"`{n}`").cast("string") for n, k in frame.dtypes]
     with sqlite3.connect(file) as base:
         if drop:
             base.execute(f'DROP TABLE IF EXISTS "{table}"')

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,15 +94,22 @@ def parse_re(lines: DataFrame, pattern: str, names: Sequence[str] = ()) -> DataF
 
 
 def parse_split(
-    lines: DataFrame, delimiter: str = ",", names: Sequence[str] = (), strict: bool = False, width: int | None = None
-) -> DataFrame:
+    lines: DataFrame, delimiter: str = ",", names: Sequence[str] = (), strict: bool = False, width: int | None = None,
+    header: bool = False,
+) -> DataFrame:
     """Fields of split lines; the delimiter is a pattern unless strict.
 
+    ``header``: the first line of all (by ``LINE_ORDER``, as ``read_lines`` gives
+    it) holds the names after ``names`` and is no record itself.
+
     Without ``width`` the data's largest number of fields, found by one
     aggregate, gives the number of columns; unnamed ones are named by index.
     """
     parts = F.split("value", rf"\Q{delimiter}\E" if strict else delimiter)
     held = lines.withColumn("_p", parts)
+    if header and (first := held.orderBy(*LINE_ORDER).first()) is not None:
+        names = [*names, *first["_p"]]
+        held = held.filter(~reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(first[c])) for c in LINE_ORDER]))
     count = width or held.agg(F.max(F.array_size("_p"))).first()[0] or 0
     given = [*names, *[str(k) for k in range(len(names), count)]]
     return held.select(

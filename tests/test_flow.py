@@ -41,6 +41,18 @@ def test_numbers_with_a_hot_first_key_and_with_nulls_only(spark):
     assert numbered(rows.limit(0), ["a", "b"]).count() == 0
 
 
+def test_files(flow, spark, tmp_path):
+    flow.to_json_array(f"{tmp_path}/a")
+    flow.sort("x=-n").to_csv(f"{tmp_path}/c", ["x", "g"])
+    flow.to_json_lines(f"{tmp_path}/l")
+    assert sorted(r["x"] for r in Flow.from_csv(spark, f"{tmp_path}/c").records()) == [1, 1, 2, 3]
+    assert sorted(r["x"] for r in Flow.from_json_lines(spark, f"{tmp_path}/l").records()) == [1, 1, 2, 3]
+    whole = tmp_path / "whole.json"
+    whole.write_text("".join(p.read_text() for p in sorted((tmp_path / "a").glob("part-*"))))
+    read = Flow.from_json_array(spark, str(whole))
+    assert read.df.columns == ["g", "l", "x"] and [r["x"] for r in read.records()] == xs(flow)
+
+
 def test_order_is_asked_for(flow):
     with pytest.raises(ValueError):
         Flow(flow.df).head(1)

@@ -107,6 +107,16 @@ def test_sqlite_round_trip(spark, tmp_path):
     writers.write_sqlite(frame.limit(2), file, "t", drop=True)
     with sqlite3.connect(file) as base:
         assert base.execute("SELECT count(*) FROM t").fetchone() == (2,)
+    writers.write_sqlite(frame.limit(2), file, "u", keys=["i", "s=TEXT"])
+    with sqlite3.connect(file) as base:
+        assert [r[1:3] for r in base.execute("PRAGMA table_info(u)")] == [("id", "INTEGER"), ("i", "INTEGER"), ("s", "TEXT")]
+
+
+def test_split_header(spark, tmp_path):
+    lines = L.read_lines(spark, put(tmp_path, "a.txt", "k v\n1 2\n3 4 5\nk v\n"))
+    got = L.parse_split(lines, " ", header=True).orderBy("_line")
+    assert [tuple(r) for r in got.select("k", "v", "2").collect()] == [("1", "2", None), ("3", "4", "5"), ("k", "v", None)]
+    assert L.parse_split(lines.limit(0), " ", ["a"], header=True).count() == 0
 
 
 def test_processes_and_packets(spark):

@@ -80,6 +80,29 @@ def test_expand_json(spark):
     assert [r[0] for r in out.collect()][1:] == ["plain", "12", "true", None, "{bad"]
 
 
+def test_expand_json_recursive(spark):
+    inner = '{"a": "{\\"b\\": \\"[1, \\\\\\"x\\\\\\", 12]\\"}", "c": "12", "d": "{bad}"}'
+    frame = spark.createDataFrame([(inner,), ("12",), (None,), ("",)], "m string")
+    got = [r[0] for r in R.expand_json(frame, recursive=True).select(F.expr("cast(m as string)")).collect()]
+    assert got == ['{"a":{"b":[1,"x",12]},"c":"12","d":"{bad}"}', "12", None, ""]
+    typed = R.expand_json(frame, ["m"], {"m": "a struct<b: array<string>>"}, recursive=True)
+    assert typed.select("m.a.b").first()["b"] == ["1", "x", "12"]
+
+
+def test_pivot_order_and_records(spark):
+    rows = [(0, "ALL", "u", 1), (1, "b", "u", 2), (2, "a", "v", 3), (3, "a", "v", 4), (4, "a", "ALL", None)]
+    frame = spark.createDataFrame(rows, "o long, k string, g string, n long")
+    plain = S.pivot(frame, ["k"], ["g"], ["n"], ["o"], all_last=True)
+    assert plain.columns == ["g", "a", "b", "ALL"] and [tuple(r) for r in plain.collect()] == [("u", None, "2", "1"), ("v", "4", None, None)]
+    assert S.pivot(frame, ["k"], ["g"], ["n"], ["o"], sort=["k=-", "g=-"]).columns == ["g", "b", "a", "ALL"]
+    nested = S.pivot_records(frame, ["k", "FIELD"], ["g"], ["n", "o"], ["o"])
+    got = {r["g"]: {k: dict(v["FIELD"]) for k, v in r["k"].items()} for r in nested.collect()}
+    assert got == {
+        "u": {"ALL": {"n": "1", "o": "0"}, "b": {"n": "2", "o": "1"}}, "v": {"a": {"n": "4", "o": "3"}}, "ALL": {"a": {"o": "4"}},
+    }
+    assert S.pivot_records(frame.limit(0), ["k"], ["g"], ["n"], ["o"]).count() == 0
+
+
 def test_times(spark):
     frame = spark.createDataFrame([(k, t) for k, t in enumerate([3600, 3659, 3725, 3775, 3795])], "o long, time long")
     loose = R.normalize_time(frame, "time", 60, ["o"], strict=False).orderBy("o")
