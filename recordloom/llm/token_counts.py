@@ -16,7 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.text import PLAIN, PRE_TOKEN, Bounded, Merger, load_tokenizer, texts_of
+from recordloom.llm.text import LEADING_SPACE_CHUNK, PLAIN, PRE_TOKEN, Bounded, Merger, load_tokenizer, texts_of
+
 
 def whole_tokens(path: str) -> frozenset[str]:
     """Vocabulary strings that encode, alone, as one token which is their own.
@@ -38,7 +39,9 @@ def whole_tokens(path: str) -> frozenset[str]:
 class _Cost(Bounded):
     """Tokens of a pre-token: 1 for the proven ones, the merges' count for the rest.
 
-    Pre-tokens that had to be merged are remembered, in bounded number.
+    A chunk with characters that Unicode versions class differently is asked
+    for as a whole and, unless proven, counted by the library. What had to be
+    merged or counted is remembered, in bounded number.
     """
 
     def __init__(self, path: str, proven: frozenset[str], limit: int = 200_000):
@@ -51,10 +54,16 @@ class _Cost(Bounded):
         self.special = regex.compile("|".join(added) or r"(?!)")
         self.plain = PLAIN["byte"].fullmatch
         self.split = regex.compile(PRE_TOKEN["byte"]).findall
+        self.chunks = regex.compile(LEADING_SPACE_CHUNK).findall
 
     def __missing__(self, piece: str) -> int:
         if (count := self.old.get(piece)) is None:
-            count = 1 if piece in self.proven else len(self.merge(piece))
+            if piece in self.proven:
+                count = 1
+            elif self.plain(piece):
+                count = len(self.merge(piece))
+            else:
+                count = len(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids)
         return self.keep(piece, count)
 
     def tokens(self, text: str | None) -> int:
@@ -64,7 +73,7 @@ class _Cost(Bounded):
             parts = self.special.split(text)
             return len(parts) - 1 + sum(map(self.tokens, parts))
         if not self.plain(text):
-            return len(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            return sum(sum(map(self.__getitem__, self.split(c))) if self.plain(c) else self[c] for c in self.chunks(text))
         return sum(map(self.__getitem__, self.split(text)))
 
 

@@ -30,6 +30,13 @@ def test_counts_are_the_library_s(odd_docs):
     assert all(r["over_limit"] == (r["n_tokens"] > 512) for r in got)
 
 
+def test_counts_of_mixed_scripts(spark):
+    parts = ["it's", " \u044f\u0437\u044b\u043a", "\u0645\u0631\u062d", " \u0939\u093f", "\u3042", "\U0001f600\u200d", "  ", "\u3000", "\n", "42.", "<|endoftext|>", "\u0301"]
+    texts = ["".join(parts[(k * j + j) % len(parts)] for j in range(1, 9)) for k in range(300)]
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTE).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {k: len(ids(BYTE, t)) for k, t in enumerate(texts)}
+
+
 def test_no_documents(no_docs, tmp_path):
     assert token_counts.count_tokens(no_docs, BYTE).count() == 0
     token_store.write_store(no_docs, f"{tmp_path}/store", WORD)
