@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import shuffle_parts, stored
@@ -396,31 +396,37 @@ def _rooms(crowds: DataFrame, piece_rows: int) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, piece_rows: int) -> DataFrame:
-    """``room``, ``piece``, ``doc``, ``c``, ``s0``, ``s1``: pieces of a room's rows in the order of ``c``, none over tasks.
+    """``room``, ``piece``, ``doc``, ``c``, ``s0``, ``s1``: pieces of a room's rows in the order of ``c``.
 
-    A piece ends at ``piece_rows`` rows or beyond ``PIECE_SHINGLES`` shingles.
+    A new piece begins with a room and wherever the number of rows before, of
+    all rooms, passes a multiple of ``piece_rows`` or that of their shingles one
+    of ``PIECE_SHINGLES``. So pieces are the same over any number of tasks: rows
+    are counted within ranges, whose totals (one row a range) come on top.
     """
-    names = ["room", "piece", "doc", "c", "s0", "s1"]
+    names = ["room", "doc", "c", "s0", "s1", "part", "n", "held", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = TaskContext.get().partitionId() << 32
-        room, at, held = None, 0, 0  # rows and shingles of the piece so far
+        part, n, held = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            number = np.empty(batch.num_rows, np.int64)
-            for k, (here, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(5).to_pylist())):
-                if here != room or at == piece_rows or held > PIECE_SHINGLES:
-                    room, at, held, piece = here, 0, 0, piece + 1
-                at, held = at + 1, held + size
-                number[k] = piece
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number), *batch.columns[1:5]], names)
+            size = batch.column(5).to_numpy()
+            up_to = np.cumsum(size) + held
+            at = np.arange(n, n + len(size))
+            columns = [np.full(len(size), part), at, up_to - size, size]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *[pa.array(c, pa.int64()) for c in columns]], names)
+            n += len(size)
+            held = int(up_to[-1]) if len(size) else held
 
     order = ["room", "c", "doc"]
-    # As many ranges as full pieces, for a range's end also ends a piece and every two pieces of a room meet.
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
-    full = max(1, -(-total["n"] // piece_rows), -(-total["size"] // PIECE_SHINGLES))
-    parts = min(shuffle_parts(rows.sparkSession), full)
-    ordered = rows.select("room", "doc", "c", "s0", "s1", "size").repartitionByRange(parts, *order)
-    return ordered.sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    ordered = rows.select("room", "doc", "c", "s0", "s1", "size").repartitionByRange(shuffle_parts(rows.sparkSession), *order)
+    counted = ordered.sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    counted = stored(counted, "near-counted")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counted.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("all"))
+    totals = totals.select("part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("rows", "all")])
+    by_rows = F.floor((F.col("rows") + F.col("n")) / piece_rows).cast("long")
+    by_shingles = F.floor((F.col("all") + F.col("held")) / PIECE_SHINGLES).cast("long")
+    piece = F.shiftleft(by_rows, 31).bitwiseOR(by_shingles)
+    return counted.join(totals, "part").select("room", piece.alias("piece"), "doc", "c", "s0", "s1")
 
 
 def _confirmed_apart(
