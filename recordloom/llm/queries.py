@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordloom.llm import (
+    bpe_codec,
     decontaminate,
+    divergence,
     embedding_dedup,
+    hard_negatives,
     near_dup,
     packing,
     quality,
@@ -70,6 +74,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages")).drop("distrust_share")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"), min_docs=3, scale=1_000_000_000, top=200)
+
+
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe_codec.encode(read_table(spark, sf_dir, "documents"), path).withColumn("ids_sha256", F.sha2("ids", 256))
+    return bpe_codec.decode(encoded, path).withColumn("decoded", F.sha2("decoded", 256)).withColumnRenamed("decoded", "decoded_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", changed)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, band=(30, 90))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_token_store": op2_token_store,
@@ -81,6 +101,9 @@ QUERIES = {
     "op8_near_dup": op8_near_dup,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
+    "op11_divergence": op11_divergence,
+    "op12_bpe_codec": op12_bpe_codec,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -152,4 +175,33 @@ ORACLE_SQL: dict[str, str] = {
     {_REACH}
     SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept FROM part LEFT JOIN n USING (id)""",
     "op10_url_filter": _url_sql(),
+    "op11_divergence": f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce({_LOW}, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    t AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+    vocabulary AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+    x AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, v.n AS every FROM g JOIN vocabulary v USING (lang)
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+    y AS (SELECT *, sum(n) OVER w AS total, sum(every) OVER w AS of_lang, count(*) OVER w AS terms FROM x WINDOW w AS (PARTITION BY lang, source)),
+    z AS MATERIALIZED (SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (total + terms) AS BIGINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (every + 1)) // (of_lang + terms) AS BIGINT) AS q FROM y),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS v
+    FROM z a JOIN z b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(v, 0) AS BIGINT) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM z WHERE n > 0 AND p > q)
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows
+    QUALIFY part = 'pair' OR rank <= 200""",
+    "op13_hard_negatives": """WITH v AS (SELECT row_number() OVER () AS r, vec_id AS id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.id AS anchor_id, a.r AS a, c.id, a.label = c.label AS same, CAST(list_dot_product(a.q, c.q) AS BIGINT) AS score
+    FROM v a JOIN v c ON a.r <> c.r WHERE a.id % 100 = 0),
+    p AS (SELECT anchor_id, a, id AS positive_id, score AS positive_score, row_number() OVER w AS k FROM s WHERE same
+    WINDOW w AS (PARTITION BY a ORDER BY score DESC, id) QUALIFY k <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY p.a, k ORDER BY score DESC, id) QUALIFY rank <= 10""",
 }
