@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from recordloom.functions import coerce
 from recordloom.functions.aggregators import Aggregate, Fields, build, parse
 from recordloom.functions.keys import kind_of, name_of, resolve, value
-from recordloom.plans.order import CHUNK, OWN, PLACE, changed, chunked, in_chunk, numbered, own_rows, running
+from recordloom.functions.running import power_states, running_form
+from recordloom.plans.order import (
+    OWN, PLACE, State, by_columns, changed, chunked, in_chunk, numbered, own_rows, running, scan, segmented,
+)
+from recordloom.plans.store import keep
 
 ALL = "ALL"
 Spec = str | tuple  # "name=kind,arg" or (name, maker)
@@ -47,6 +51,7 @@ def collate(
     order: list[str] | None = None,
     cube: bool = False,
     as_text: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """One record a group: its keys and its aggregates.
 
@@ -54,12 +59,12 @@ def collate(
     keys' text, null and empty text being one key, and gives the first record's
     value. ``cube`` adds every combination with ``ALL`` in place of a key (keys
     become text then; a null key stays apart from ``ALL``). Without keys there
-    is one group; an empty table has none at all.
+    is one group; an empty table has none at all. ``by`` are keys ahead of the others.
 
     Ranks are found among the counted values of all groups, numbered together,
     so no group's values meet in one list or task.
     """
-    found = _keys(df, keys)
+    found = _keys(df, [*by, *keys])
     names = [n for n, _, _ in found]
     made = _aggregates(df, aggregates, order)
     work, by, shown = df, [], []
@@ -146,13 +151,15 @@ def _over(df: DataFrame, made: list[tuple[str, Aggregate]], over) -> DataFrame:
     return out
 
 
-def collate_each(df: DataFrame, keys: Sequence[str | tuple], aggregates: Sequence[Spec], order: list[str] | None = None) -> DataFrame:
+def collate_each(
+    df: DataFrame, keys: Sequence[str | tuple], aggregates: Sequence[Spec], order: list[str] | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """Every record with its group's aggregates beside its own fields.
 
     Groups are aggregated first and joined back, so a large group isn't held in
     one task; aggregates by value work too.
     """
-    found = _keys(df, keys)
+    found = _keys(df, [*by, *keys])
     grouped = collate(df, [(f"_k{k}", c) for k, (_, c, _) in enumerate(found)], aggregates, order)
     if not found:
         return df.crossJoin(grouped)
@@ -160,32 +167,89 @@ def collate_each(df: DataFrame, keys: Sequence[str | tuple], aggregates: Sequenc
     return df.join(grouped, match).drop(*[f"_k{k}" for k in range(len(found))])
 
 
-def collate_running(df: DataFrame, keys: Sequence[str | tuple], aggregates: Sequence[Spec], order: list[str]) -> DataFrame:
-    """After each record, the keys and the aggregates of its group so far, with the record's ``order`` columns."""
-    found = _keys(df, keys)
-    over = Window.partitionBy(*[c for _, c, _ in found]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    made = _aggregates(df, aggregates, order)
-    out = _over(df, [(f"_value{i}", a) for i, (_, a) in enumerate(made)], over)
+def collate_running(
+    df: DataFrame, keys: Sequence[str | tuple], aggregates: Sequence[Spec], order: list[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """After each record, the keys and the aggregates of its group so far, with the record's ``order`` columns.
+
+    Rows are numbered group after group, and states that can be merged run on
+    through chunks (``scan``), so a group of any size spreads over tasks.
+    A null key is a group of its own. Aggregates of a group's list of values (``array``, ``records``,
+    ``concatenate``, ``percentile`` and the like) hold that list after each
+    record anyway and use a window by key; ``mode`` and ``countby`` have no
+    running form.
+    """
+    found = _keys(df, [*by, *keys])
+    fields = Fields(df, order)
+    forms, plain = {}, {}
+    for i, spec in enumerate(aggregates):
+        name, kind, arguments = parse(spec) if isinstance(spec, str) else (spec[0], "", [])
+        form = running_form(fields, kind, arguments) if kind else None
+        if form is None:
+            plain[i] = _aggregates(df, [spec], order)[0]
+        else:
+            forms[i] = name, form
+    shifts = {i: form.shift for i, (_, form) in forms.items() if form.shift is not None}
+    means = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in shifts.items()]).first() if shifts else {}
+    told = [F.when(c.isNull(), "").otherwise(F.concat(F.lit("="), coerce.text(c, kind))) for _, c, kind in found]
+    rows, groups = segmented(df, told, order)
+    states: dict[str, State] = {}
+    distinct = [i for i, (_, form) in forms.items() if form.distinct is not None]
+    for i in distinct:
+        seen = rows.select(*groups, PLACE, forms[i][1].distinct.alias("_s")).filter("_s is not null")
+        first = seen.groupBy(*groups, "_s").agg(F.min(PLACE).alias(PLACE)).select(PLACE, F.lit(1).alias(f"_new{i}"))
+        rows = rows.join(first, PLACE, "left")
+    if distinct:
+        rows = keep(rows, "first-seen")
+    for i, (_, form) in forms.items():
+        made = form.states
+        if form.shift is not None:
+            made = power_states(form.shift, F.lit(means[f"m{i}"] or 0.0), form.powers)
+        if form.distinct is not None:
+            made = [State("sum", F.coalesce(f"_new{i}", F.lit(0)))]
+        states |= {f"_s{i}_{j}": state for j, state in enumerate(made)}
+    out = scan(rows, states, groups) if states else rows
+    over = Window.partitionBy(*groups).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    out = _over(out, [(f"_value{i}", part) for i, (_, part) in plain.items()], over)
+    values = {i: F.col(f"_value{i}").alias(name) for i, (name, _) in plain.items()}
+    for i, (name, form) in forms.items():
+        held = [F.col(c) for c in states if c.startswith(f"_s{i}_")]
+        if form.shift is not None:
+            held.append(F.lit(means[f"m{i}"] or 0.0))
+        values[i] = (form.own if form.own is not None else form.finish(*held)).alias(name)
     columns = [F.col(c) for c in order if c not in [n for n, _, _ in found]]
-    return out.select(*columns, *[c.alias(n) for n, c, _ in found], *[F.col(f"_value{i}").alias(n) for i, (n, _) in enumerate(made)])
+    return out.select(*columns, *[c.alias(n) for n, c, _ in found], *[values[i] for i in range(len(aggregates))])
 
 
-def collate_adjacent(df: DataFrame, keys: Sequence[str | tuple], aggregates: Sequence[Spec], order: list[str]) -> DataFrame:
-    """One record for each run of consecutive records with equal keys, with the run's number."""
+def collate_adjacent(
+    df: DataFrame, keys: Sequence[str | tuple], aggregates: Sequence[Spec], order: list[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """One record for each run of consecutive records with equal keys, with the run's number.
+
+    ``by`` makes separate streams, whose runs are numbered from 1 each and come
+    with the fields of their first record.
+    """
     found = _keys(df, keys)
-    rows = numbered(df, order)
+    rows, groups = segmented(df, by_columns(df, by), order)
     rows = chunked(rows, 1, 0)
-    rows = own_rows(rows.withColumn("_starts", changed([c for _, c, _ in found], in_chunk()).cast("long")))
-    rows = running(rows, F.col("_starts"), "run")
+    rows = own_rows(rows.withColumn("_starts", changed([c for _, c, _ in found], in_chunk(groups)).cast("long")))
+    rows = running(rows, F.col("_starts"), "run", groups=groups)
     names = [(n, c) for n, c, _ in found]
-    return collate(rows.drop("_starts"), ["run", *names], aggregates, [PLACE])
+    shown = [(name_of(p), lambda f, p=p: Aggregate([F.min_by(f.raw(p), F.col(PLACE))])) for p in by]
+    out = collate(rows.drop("_starts"), [*groups, "run", *names], [*shown, *aggregates], [PLACE])
+    return out.drop(*groups)
+
 
+def collate_rolling(df: DataFrame, size: int, aggregates: Sequence[Spec], order: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """Aggregates over each run of exactly ``size`` consecutive records, with its last record's ``order``.
 
-def collate_rolling(df: DataFrame, size: int, aggregates: Sequence[Spec], order: list[str]) -> DataFrame:
-    """Aggregates over each run of exactly ``size`` consecutive records, with its last record's ``order``."""
-    rows = chunked(numbered(df, order), size - 1, 0)
-    over = in_chunk().rowsBetween(-(size - 1), 0)
+    ``by`` makes separate streams; their fields come with the result.
+    """
+    rows, groups = segmented(df, by_columns(df, by), order)
+    rows = chunked(rows, size - 1, 0)
+    over = in_chunk(groups).rowsBetween(-(size - 1), 0)
     made = _aggregates(df, aggregates, order)
-    out = _over(rows, [(f"_value{i}", a) for i, (_, a) in enumerate(made)], over)
-    out = out.filter((F.col(OWN)) & (F.col(PLACE) >= size - 1))
-    return out.select(*order, *[F.col(f"_value{i}").alias(n) for i, (n, _) in enumerate(made)])
+    out = _over(rows.withColumn("_held", F.count(F.lit(1)).over(over)), [(f"_value{i}", a) for i, (_, a) in enumerate(made)], over)
+    out = out.filter(F.col(OWN) & (F.col("_held") == size))
+    columns = [F.col(c) for c in order if c not in map(name_of, by)]
+    return out.select(*columns, *[value(df, p).alias(name_of(p)) for p in by], *[F.col(f"_value{i}").alias(n) for i, (n, _) in enumerate(made)])

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from recordloom.functions import coerce
 from recordloom.functions.keys import kind_of, resolve, value
 from recordloom.operators.rows import _condition
-from recordloom.plans.order import PLACE, changed, chunked, in_chunk, numbered, own_rows
+from recordloom.plans.order import PLACE, State, by_columns, changed, chunked, in_chunk, numbered, own_rows, running, scan, segmented
+from recordloom.plans.store import keep
 
 NUMERIC = {"n", "nat", "natural", "num", "numeric"}
 LEXICAL = {"", "l", "lex", "lexical"}
@@ -40,15 +41,15 @@ def sort_columns(df: DataFrame, specs: Sequence[str], flip: bool = False) -> lis
     return out
 
 
-def sort(df: DataFrame, keys: Sequence[str], order: list[str], reverse: bool = False) -> DataFrame:
-    """Stable sort; ties keep stream order, which ``reverse`` turns round as well."""
+def sort(df: DataFrame, keys: Sequence[str], order: list[str], reverse: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Stable sort; ties keep stream order, which ``reverse`` turns round as well. ``by`` sorts group after group."""
     ties = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    return df.orderBy(*sort_columns(df, keys, reverse), *ties)
+    return df.orderBy(*by_columns(df, by), *sort_columns(df, keys, reverse), *ties)
 
 
-def topn(df: DataFrame, n: int = 10, keys: Sequence[str] = (), order: list[str] | None = None) -> DataFrame:
+def topn(df: DataFrame, n: int = 10, keys: Sequence[str] = (), order: list[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` records in stream order, of each key value if keys are given."""
-    paths = [p for key in keys for p in resolve(df.schema, key)]
+    paths = [*by, *[p for key in keys for p in resolve(df.schema, key)]]
     if not paths:
         return df.orderBy(*order).limit(n)
     by = [coerce.key_text(value(df, p), kind_of(df, p)) for p in paths]
@@ -56,22 +57,23 @@ def topn(df: DataFrame, n: int = 10, keys: Sequence[str] = (), order: list[str]
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def _rank(by: Sequence[str], order: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-
-
 def head(df: DataFrame, n: int, order: list[str], by: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` records, of each group of ``by`` if given."""
+    """The first ``n`` records, of each group of ``by`` if given.
+
+    By group, tasks keep ``n`` records of a group each before they meet.
+    """
     if by:
-        return df.withColumn("_rank", _rank(by, order)).filter(F.col("_rank") <= n).drop("_rank")
+        rank = F.row_number().over(Window.partitionBy(*by_columns(df, by)).orderBy(*order))
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
     return df.orderBy(*order).limit(n)
 
 
 def skip(df: DataFrame, n: int, order: list[str], by: Sequence[str] = ()) -> DataFrame:
     """All but the first ``n`` records, of each group of ``by`` if given."""
-    if by:
-        return df.withColumn("_rank", _rank(by, order)).filter(F.col("_rank") > n).drop("_rank")
-    return numbered(df, order).filter(F.col(PLACE) >= n).drop(PLACE)
+    rows, groups = segmented(df, by_columns(df, by), order)
+    if groups:
+        return running(rows, F.lit(1), "_rank", groups=groups).filter(F.col("_rank") > n).drop("_rank", PLACE, *groups)
+    return rows.filter(F.col(PLACE) >= n).drop(PLACE)
 
 
 def reverse(df: DataFrame, order: list[str]) -> DataFrame:
@@ -92,41 +94,50 @@ def uniq(df: DataFrame, keys: Sequence[str], order: list[str], by: Sequence[str]
     ``by`` makes separate streams.
     """
     paths = [p for key in keys for p in resolve(df.schema, key)]
-    if by:
-        values = [coerce.key_text(value(df, p), kind_of(df, p)) for p in paths]
-        return df.withColumn("_new", changed(values, Window.partitionBy(*by).orderBy(*order))).filter("_new").drop("_new")
-    rows = chunked(numbered(df, order), 1, 0)
+    rows, groups = segmented(df, by_columns(df, by), order)
     values = [coerce.key_text(value(df, p), kind_of(df, p)) for p in paths]
-    return own_rows(rows.withColumn("_new", changed(values, in_chunk()))).filter("_new").drop("_new", PLACE)
+    rows = chunked(rows, 1, 0).withColumn("_new", changed(values, in_chunk(groups)))
+    return own_rows(rows).filter("_new").drop("_new", PLACE, *groups)
 
 
 def delta(df: DataFrame, keys: Sequence[str], order: list[str], by: Sequence[str] = ()) -> DataFrame:
     """Each record but the last, its keys replaced by the next record's value less its own.
 
-    ``by`` makes separate streams; without it the stream is cut into chunks that
-    each see one record of the next.
+    ``by`` makes separate streams. A stream is cut into chunks that each see one
+    record of the next.
     """
     paths = [p for key in keys for p in resolve(df.schema, key)]
     numbers = {p: coerce.number(value(df, p), kind_of(df, p)) for p in paths}
-    if by:
-        over, rows = Window.partitionBy(*by).orderBy(*order), df
-    else:
-        over, rows = in_chunk(), chunked(numbered(df, order), 0, 1)
-    rows = rows.withColumn("_more", F.lead(F.lit(True)).over(over))
+    rows, groups = segmented(df, by_columns(df, by), order)
+    over = in_chunk(groups)
+    rows = chunked(rows, 0, 1).withColumn("_more", F.lead(F.lit(True)).over(over))
     for k, (path, number) in enumerate(numbers.items()):
         rows = rows.withColumn(f"_d{k}", coerce.storable(F.lead(number).over(over) - number))
-    rows = rows if by else own_rows(rows).drop(PLACE)
-    rows = rows.filter("_more")
+    rows = own_rows(rows).filter("_more")
     for k, path in enumerate(paths):
         rows = rows.withColumn(path, F.col(f"_d{k}"))
-    return rows.drop("_more", *[f"_d{k}" for k in range(len(paths))])
+    return rows.drop("_more", PLACE, *groups, *[f"_d{k}" for k in range(len(paths))])
 
 
-def substream(df: DataFrame, order: list[str], begin: str | Column | None = None, end: str | Column | None = None) -> DataFrame:
+def substream(
+    df: DataFrame, order: list[str], begin: str | Column | None = None, end: str | Column | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """Records from the first that meets ``begin`` to the first from there on that meets ``end``, both included.
 
-    Two minima over the order find the ends; no record moves.
+    Two minima over the order find the ends; no record moves. ``by`` makes
+    separate streams: whether a group has begun and ended runs on through it.
     """
+    if by:
+        rows, groups = segmented(df, by_columns(df, by), order)
+        begun = F.lit(1)
+        if begin is not None:
+            rows = keep(scan(rows, {"_begun": State("max", _condition(df, begin).cast("int"))}, groups), "begun")
+            begun = F.col("_begun")
+        if end is not None:
+            rows = rows.withColumn("_met", ((begun == 1) & _condition(df, end)).cast("int"))
+            rows = scan(rows, {"_ends": State("sum", F.col("_met"))}, groups).filter(F.col("_ends") - F.col("_met") == 0)
+        rows = rows.filter(begun == 1).drop("_begun", "_met", "_ends")
+        return rows.drop(PLACE, *groups)
     place = F.struct(*[F.col(c) for c in order])
     first = None
     if begin is not None:

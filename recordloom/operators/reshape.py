@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,10 +176,23 @@ def pivot_records(
     return rows.select(*[F.col(c).alias(name_of(a)) for c, a in zip(by, y)], F.col("_v").alias(name_of(x[0])))
 
 
+#: Operators that look at one record at a time, so that groups make no difference.
+RECORD_BY_RECORD = {
+    "grep", "xform", "ensure", "rename", "prune", "expand_json", "parse_date", "split_out", "unarray", "unhash", "decollate", "flatten",
+}
+
+
 def by_group(df: DataFrame, groups: Sequence[str], operator, **options) -> DataFrame:
-    """Run an operator for each group of records: it gets the frame and ``by``, the group's columns.
+    """Run an operator for each group of records, as if each were a stream of its own.
 
-    For operators that take a ``by`` argument; the group becomes part of their own partitioning.
+    Operators on the order of records or on groups take the group as ``by``,
+    so that all groups run in the same jobs and a large one spreads over tasks;
+    those on single records run as they are. Null, missing and empty text make
+    one group.
     """
     names = [p for key in groups for p in resolve(df.schema, key)]
-    return operator(df, by=names, **options)
+    if "by" in signature(operator).parameters:
+        return operator(df, by=names, **options)
+    if operator.__name__ in RECORD_BY_RECORD:
+        return operator(df, **options)
+    raise TypeError(f"{operator.__name__} has no form by group")

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from recordloom.functions import coerce
 from recordloom.functions.keys import assign, kind_of, lookup, name_of, resolve, value
 from recordloom.functions.snippets import expression
-from recordloom.plans.order import PLACE, chunked, in_chunk, numbered, own_rows, running
+from recordloom.plans.order import PLACE, State, by_columns, chunked, in_chunk, own_rows, scan, segmented
+from recordloom.plans.store import keep
 
 
 def _condition(df: DataFrame, snippet: str | Column) -> Column:
@@ -35,11 +36,14 @@ def grep(df: DataFrame, condition: str | Column, invert: bool = False) -> DataFr
     return df.filter(~met if invert else met)
 
 
-def grep_context(df: DataFrame, condition: str | Column, order: list[str], before: int = 0, after: int = 0) -> DataFrame:
-    """Matching records with so many records before and after each, every record once."""
-    rows = chunked(numbered(df.withColumn("_met", _condition(df, condition).cast("int")), order), after, before)
-    near = F.max("_met").over(in_chunk().rowsBetween(-after, before))
-    return own_rows(rows.withColumn("_near", near)).filter("_near = 1").drop("_met", "_near", PLACE)
+def grep_context(
+    df: DataFrame, condition: str | Column, order: list[str], before: int = 0, after: int = 0, by: Sequence[str] = ()
+) -> DataFrame:
+    """Matching records with so many records before and after each, every record once; ``by`` makes separate streams."""
+    rows, groups = segmented(df.withColumn("_met", _condition(df, condition).cast("int")), by_columns(df, by), order)
+    rows = chunked(rows, after, before)
+    near = F.max("_met").over(in_chunk(groups).rowsBetween(-after, before))
+    return own_rows(rows.withColumn("_near", near)).filter("_near = 1").drop("_met", "_near", PLACE, *groups)
 
 
 def xform(df: DataFrame, changes: dict[str, str | Column], remove: Sequence[str] = ()) -> DataFrame:
@@ -56,14 +60,15 @@ def xform_many(df: DataFrame, records: str | Column) -> DataFrame:
     return df.select(F.explode(expression(df, records)).alias("_r")).select("_r.*")
 
 
-def xform_neighbours(df: DataFrame, order: list[str], before: int = 0, after: int = 0) -> DataFrame:
-    """Add ``B`` (records before, nearest first) and ``A`` (records after) as arrays of structs."""
+def xform_neighbours(df: DataFrame, order: list[str], before: int = 0, after: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``B`` (records before, nearest first) and ``A`` (records after) as arrays of structs; ``by`` makes separate streams."""
     record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = chunked(numbered(df.withColumn("_r", record), order), before, after)
+    rows, groups = segmented(df.withColumn("_r", record), by_columns(df, by), order)
+    rows, over = chunked(rows, before, after), in_chunk(groups)
     for name, lag, count in (("B", F.lag, before), ("A", F.lead, after)):
         if count:
-            rows = rows.withColumn(name, F.array_compact(F.array(*[lag("_r", k).over(in_chunk()) for k in range(1, count + 1)])))
-    return own_rows(rows).drop("_r", PLACE)
+            rows = rows.withColumn(name, F.array_compact(F.array(*[lag("_r", k).over(over) for k in range(1, count + 1)])))
+    return own_rows(rows).drop("_r", PLACE, *groups)
 
 
 def evaluate(df: DataFrame, snippet: str | Column) -> DataFrame:
@@ -72,13 +77,13 @@ def evaluate(df: DataFrame, snippet: str | Column) -> DataFrame:
     return df.select(coerce.key_text(column, df.select(column).schema[0].dataType).alias("value"))
 
 
-def annotate(df: DataFrame, keys: Sequence[str], changes: dict[str, str | Column], order: list[str]) -> DataFrame:
+def annotate(df: DataFrame, keys: Sequence[str], changes: dict[str, str | Column], order: list[str], by: Sequence[str] = ()) -> DataFrame:
     """Fields computed from the first record of each key value, on all records of it.
 
     The first values are aggregated by key and joined back.
     """
     place = F.struct(*[F.col(c) for c in order])
-    paths = [p for key in keys for p in resolve(df.schema, key)]
+    paths = [*by, *[p for key in keys for p in resolve(df.schema, key)]]
     by = [value(df, p).alias(f"_k{k}") for k, p in enumerate(paths)]
     made = [F.min_by(expression(df, code), place).alias(f"_v{k}") for k, code in enumerate(changes.values())]
     first = df.groupBy(*by).agg(*made)
@@ -175,29 +180,30 @@ def seconds_of(span: str | int | float) -> float:
     return sum(float(n) * UNITS[(u or "s")[0]] for n, u in found)
 
 
-def normalize_time(df: DataFrame, key: str, span: str | float, order: list[str] | None = None, strict: bool = True) -> DataFrame:
-    """Add ``n_<key>``: the time's bucket start.
+def normalize_time(
+    df: DataFrame, key: str, span: str | float, order: list[str] | None = None, strict: bool = True, by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``n_<key>``: the time's bucket start; ``by`` makes separate streams.
 
     Times are epoch seconds or timestamps. Not strict: a bucket that directly
     follows the previous record's normalised value takes that value on. Let d be
     the step between strict buckets: one bucket flips whether a record is moved
     back, none keeps it, any other resets it; so the state is the parity of
-    flips since the last reset, two running sums instead of a sequential scan.
+    flips since the last reset, found by running sums instead of a sequential scan.
     """
     width = seconds_of(span)
     name = f"n_{name_of(key)}"
     at = F.floor(coerce.number(value(df, key), kind_of(df, key)) / width) * width
     if strict:
         return df.withColumn(name, at)
-    rows = chunked(numbered(df.withColumn(name, at), order), 1, 0)
-    step = F.col(name) - F.lag(name).over(in_chunk())
-    rows = own_rows(rows.withColumn("_flip", F.coalesce((step == width).cast("long"), F.lit(0)))
-                    .withColumn("_reset", F.coalesce((~step.isin(0.0, width)).cast("long"), F.lit(1))))
-    rows = running(running(rows, F.col("_flip"), "_flips"), F.col("_reset"), "_resets")
-    first = rows.groupBy("_resets").agg(F.min("_flips").alias("_from"))
+    rows, groups = segmented(df.withColumn(name, at), by_columns(df, by), order)
+    step = F.col(name) - F.lag(name).over(in_chunk(groups))
+    rows = own_rows(chunked(rows, 1, 0).withColumn("_flip", F.coalesce((step == width).cast("long"), F.lit(0)))
+                    .withColumn("_reset", F.coalesce(~step.isin(0.0, width), F.lit(True))))
+    rows = keep(scan(rows, {"_flips": State("sum", F.col("_flip"))}, groups), "flips")
+    rows = scan(rows, {"_from": State("max", F.when(F.col("_reset"), F.col("_flips")))}, groups)
     moved = (F.col("_flips") - F.col("_from")) % 2
-    out = rows.join(first, "_resets").withColumn(name, F.col(name) - moved * width)
-    return out.drop("_flip", "_reset", "_flips", "_resets", "_from", PLACE)
+    return rows.withColumn(name, F.col(name) - moved * width).drop("_flip", "_reset", "_flips", "_from", PLACE, *groups)
 
 
 #: How strftime's letters are written as datetime patterns.

@@ -17,7 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="recordloom-"))
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="recordloom-")
+    return _LOCAL[app]
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -201,6 +201,29 @@ def collate_running(spark, sf_dir):
     return rounded(C.collate_running(table(spark, sf_dir, "events"), ["user_id"], ["count", "total=sum,value"], EVENTS), "total")
 
 
+@query("""SELECT event_id, count(*) OVER w AS count, round(sum(value) OVER w, 3) AS total, round(avg(sqrt(value)) OVER w, 6) AS mean, min(value) OVER w AS low,
+max(value) OVER w AS high, round(var_pop(sqrt(value)) OVER w, 6) AS spread, count(DISTINCT user_id) OVER w AS users, first(event_type) OVER w AS first_type,
+arg_max(event_id, (value, event_id)) OVER w AS high_id FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def collate_running_all(spark, sf_dir):
+    """One stream of all records."""
+    events = table(spark, sf_dir, "events").withColumn("root", F.sqrt("value"))
+    specs = ["count", "total=sum,value", "mean=avg,root", "low=min,value", "high=max,value", "spread=var,root", "users=dcount,user_id"]
+    out = C.collate_running(events, [], [*specs, "first_type=first,event_type", "top=recformax,value"], EVENTS)
+    out = rounded(rounded(out, "total", digits=3), "mean", "spread", digits=6)
+    return out.withColumn("high_id", F.col("top.event_id")).drop("top")
+
+
+@query("""SELECT event_id, event_type, count(*) OVER w AS count, round(stddev_pop(value) OVER w, 4) AS deviation, count(DISTINCT user_id % 50) OVER w AS users,
+first(event_id) OVER w AS first_id, round(CASE WHEN count(*) OVER w > 1 THEN covar_pop(value, user_id) OVER w ELSE 0 END, 1) AS covariance FROM events
+WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def collate_running_spread(spark, sf_dir):
+    """A few large groups."""
+    events = table(spark, sf_dir, "events").withColumn("part", F.col("user_id") % 50)
+    specs = ["count", "deviation=stddev,value", "users=dcount,part", "f=firstrec", "covariance=cov,value,user_id"]
+    out = C.collate_running(events, ["event_type"], specs, EVENTS).withColumn("first_id", F.col("f.event_id")).drop("f")
+    return rounded(rounded(out, "deviation"), "covariance", digits=1)
+
+
 @query("""WITH c AS (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id))::INT AS s FROM events),
 r AS (SELECT *, sum(s) OVER (ORDER BY event_id) AS run FROM c)
 SELECT CAST(run AS BIGINT) AS run, event_type, count(*) AS count, max(value) AS high FROM r GROUP BY run, event_type""")
@@ -434,6 +457,62 @@ def multiplex_uniq(spark, sf_dir):
     return S.by_group(rows, ["user_id"], O.uniq, keys=["event_type"], order=EVENTS)
 
 
+@query("""WITH b AS (SELECT event_type, min(event_id) AS b FROM events WHERE value > 90 GROUP BY 1),
+e AS (SELECT event_type, min(event_id) AS e FROM events JOIN b USING (event_type) WHERE event_id >= b AND user_id % 1000 = 7 GROUP BY 1)
+SELECT event_id, event_type, value FROM events JOIN b USING (event_type) LEFT JOIN e USING (event_type) WHERE event_id >= b AND (e IS NULL OR event_id <= e)""")
+def multiplex_substream(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    out = S.by_group(rows, ["event_type"], O.substream, order=EVENTS, begin="{{value}} > 90", end="{{user_id}} % 1000 = 7")
+    return out.select("event_id", "event_type", "value")
+
+
+@query("""WITH c AS (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER w)::INT AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c)
+SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS count, max(value) AS high FROM r GROUP BY user_id, run, event_type""")
+def multiplex_adjacent(spark, sf_dir):
+    return S.by_group(
+        table(spark, sf_dir, "events"), ["user_id"], C.collate_adjacent, keys=["event_type"], aggregates=["count", "high=max,value"], order=EVENTS
+    )
+
+
+@query("""SELECT event_id, event_type, round(sum(value) OVER w, 4) AS total, max(value) OVER w AS high FROM events
+WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) >= 4""")
+def multiplex_rolling(spark, sf_dir):
+    specs = ["total=sum,value", "high=max,value"]
+    return rounded(S.by_group(table(spark, sf_dir, "events"), ["event_type"], C.collate_rolling, size=4, aggregates=specs, order=EVENTS), "total")
+
+
+@query("""WITH m AS (SELECT event_id, event_type, value, value > 95 AS hit FROM events),
+w AS (SELECT *, max(hit::INT) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM m)
+SELECT event_id, event_type, value FROM w WHERE near = 1""")
+def multiplex_context(spark, sf_dir):
+    out = S.by_group(table(spark, sf_dir, "events"), ["event_type"], R.grep_context, condition="value > 95", order=EVENTS, before=1, after=2)
+    return out.select("event_id", "event_type", "value")
+
+
+@query("""SELECT event_id, user_id, lag(value) OVER w AS before_value, lead(value) OVER w AS after_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def multiplex_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    out = S.by_group(rows, ["user_id"], R.xform_neighbours, order=EVENTS, before=1, after=1)
+    return out.select("event_id", "user_id", F.get("B", 0)["value"].alias("before_value"), F.get("A", 0)["value"].alias("after_value"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT event_id, user_id % 100 AS part, row_number() OVER (PARTITION BY user_id % 100 ORDER BY event_id) AS i, floor(epoch(ts) / 3600) * 3600 AS b FROM events),
+n AS (SELECT part, i, event_id, b AS v FROM s WHERE i = 1
+UNION ALL SELECT s.part, s.i, s.event_id, CASE WHEN s.b = n.v + 3600 THEN n.v ELSE s.b END FROM n JOIN s ON s.i = n.i + 1 AND s.part = n.part)
+SELECT event_id, part, CAST(v AS DOUBLE) AS n_ts FROM n""")
+def multiplex_loose_time(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("part", F.col("user_id") % 100)
+    out = S.by_group(rows, ["part"], R.normalize_time, key="ts", span="1h", order=EVENTS, strict=False)
+    return out.select("event_id", "part", F.col("n_ts").cast("double").alias("n_ts"))
+
+
+@query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) > 10")
+def multiplex_skip(spark, sf_dir):
+    return S.by_group(table(spark, sf_dir, "events"), ["event_type"], O.skip, n=10, order=EVENTS).select("event_id", "event_type")
+
+
 @query("SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 5")
 def topn_by_key(spark, sf_dir):
     return O.topn(table(spark, sf_dir, "events"), 5, ["event_type"], EVENTS).select("event_id", "event_type")
