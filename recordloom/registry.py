@@ -633,6 +633,42 @@ def fromapache(spark, sf_dir):
     return out.select("event_id", "rhost", "path", F.col("status").cast("int").cast("string").alias("status"))
 
 
+@query("""SELECT event_id, 'h' || user_id AS rhost, '/' || event_type || '\\' AS path, CASE WHEN event_id % 3 = 0 THEN 'a"b' WHEN event_id % 3 = 1 THEN '-' END AS agent,
+CASE WHEN event_id % 3 = 2 THEN 'v' || user_id END AS vhost FROM events""")
+def fromapache_trailing(spark, sf_dir):
+    """Lines with text behind the last field, escaped quotes and a host in front."""
+    events = table(spark, sf_dir, "events")
+    head = F.format_string('h%d - - [10/Oct/2000:13:55:36 -0700] "GET /%s\\ HTTP/1.0" 200 23', "user_id", "event_type")
+    line = (
+        F.when(F.col("event_id") % 3 == 0, F.concat(head, F.lit(' "-" "a\\"b" extra 17')))
+        .when(F.col("event_id") % 3 == 1, F.concat(head, F.lit(' "-" "-" 17')))
+        .otherwise(F.concat(F.format_string("v%d ", "user_id"), head, F.lit(" 5 more")))
+    )
+    out = L.parse_apache(events.select("event_id", line.alias("value")), ["combined", "common", "vhost"])
+    return out.select("event_id", "rhost", "path", F.replace("agent", F.lit('\\"'), F.lit('"')).alias("agent"), "vhost")
+
+
+@query("""SELECT event_id, CAST(user_id AS VARCHAR) AS file_size, event_type || ' x' AS filename, ['a', 'b', 'm'][event_id % 3 + 1] AS transfer_type,
+['o', 'i', 'd', 'a', 'S', 'm'][event_id % 6 + 1] AS direction, ['C', 'X', '_', 'CU'][event_id % 4 + 1] AS special_action_flag FROM events""")
+def fromxferlog(spark, sf_dir):
+    pick = lambda *c: F.get(F.array(*map(F.lit, c)), (F.col("event_id") % len(c)).cast("int"))
+    line = F.concat_ws(
+        " ", F.lit("Mon Oct  1 17:09:23 2001 0 host"), F.col("user_id").cast("string"), "event_type", F.lit("x"), pick("a", "b", "m"),
+        pick("C", "X", "_", "CU"), pick("o", "i", "d", "a", "S", "m"), F.lit("w tmp ftp 0 * c"),
+    )
+    out = L.parse_xferlog(table(spark, sf_dir, "events").select("event_id", line.alias("value")))
+    return out.select("event_id", "file_size", "filename", "transfer_type", "direction", "special_action_flag")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'even' END AS even, CASE WHEN user_id % 2 = 1 THEN 'odd' END AS odd,
+CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS kind FROM events""")
+def fromre_optional(spark, sf_dir):
+    """A group that takes no part is null, one that matches nothing is empty."""
+    kind = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("event_type"))
+    line = F.concat(F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"), F.lit("="), kind, F.lit(";"))
+    return L.parse_re(table(spark, sf_dir, "events").select("event_id", line.alias("value")), "^(?:(even)|(odd))=([^;]*)", ["even", "odd", "kind"])
+
+
 @query("""SELECT CAST(n_regionkey AS VARCHAR) AS region, string_agg(n_name, ' ' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1""")
 def frommultire(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")

@@ -89,7 +89,12 @@ def parse_re(lines: DataFrame, pattern: str, names: Sequence[str] = ()) -> DataF
     count = re.compile(pattern).groups
     held = lines.filter(F.col("value").rlike(pattern))
     given = [*names, *[str(k) for k in range(len(names), count)]][:count]
-    made = [F.regexp_extract("value", pattern, k + 1) for k in range(count)]
+    made = []
+    for k in range(1, count + 1):
+        found = F.regexp_extract("value", pattern, k)
+        # The first match alone (an atomic group), then the group again: that fails where it took no part.
+        there = F.col("value").rlike(rf"^(?s:(?>.*?(?:{pattern})))\{k}")
+        made.append(F.when((found != "") | there, found))
     return held.select(*[c for c in lines.columns if c != "value"], *[m.alias(n) for m, n in zip(made, given)])
 
 
@@ -117,17 +122,20 @@ def parse_split(
     )
 
 
-#: The web server log formats.
-_COMMON = (
-    r'^(\S+) (\S+) (.*?) \[([^:]*):(\d+:\d+:\d+) ([^\]]*)\] "((?:[^"\\]|\\.)*)" (\d{3}|-) (\d+|-)'
-)
-APACHE = {
-    "combined": _COMMON + r' "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)"\s*$',
-    "common": _COMMON + r"\s*$",
-    "vhost": r"^(\S+) " + _COMMON[1:] + r"\s*$",
+#: The fields of web server log lines, in order, and what each may hold. Quotes within a quoted field follow a backslash.
+_QUOTED = r'"((?:[^"\\]++|\\"|\\)*)"'
+_COMMON = {
+    "rhost": r"(\S+)", "logname": r"(\S+)", "user": r"(\S+)", "date": r"\[(\d{2}/\w{3}/\d{4}):", "time": r"(\d{2}:\d{2}:\d{2})",
+    "timezone": r"([^\]]+)\]", "request": _QUOTED, "status": r"(\d{3}|-)", "bytes": r"(\d+|-)",
+}
+_FORMATS = {
+    "combined": {**_COMMON, "referer": _QUOTED, "agent": _QUOTED},
+    "common": _COMMON,
+    "vhost": {"vhost": r"(\S+)", **_COMMON},
 }
-_NAMES = ["rhost", "logname", "user", "date", "time", "timezone", "request", "status", "bytes"]
-_FIELDS = {"combined": [*_NAMES, "referer", "agent"], "common": _NAMES, "vhost": ["vhost", *_NAMES]}
+_FIELDS = {form: list(fields) for form, fields in _FORMATS.items()}
+#: What follows the last field doesn't matter.
+APACHE = {form: "^" + " ".join(fields.values()).replace(": (", ":(") for form, fields in _FORMATS.items()}
 
 
 def parse_apache(lines: DataFrame, formats: Sequence[str] = ("combined", "common")) -> DataFrame:
@@ -154,15 +162,15 @@ def parse_apache(lines: DataFrame, formats: Sequence[str] = ("combined", "common
     return held.select("*", moment.alias("datetime"), part(1).alias("method"), part(2).alias("path"), part(3).alias("proto"))
 
 
-#: The fields of an FTP transfer log line, in order.
-XFERLOG = (
-    "day_name", "month", "day", "current_time", "year", "transfer_time", "remote_host", "file_size", "filename",
-    "transfer_type", "special_action_flag", "direction", "access_mode", "username", "service_name",
-    "authentication_method", "authenticated_user_id", "completion_status",
-)
-XFERLOG_PATTERN = (
-    r"^(\w{3}) (\w{3}) +(\d+) (\d+:\d+:\d+) (\d{4}) (\d+) (\S+) (\d+) (.*) ([ab]) ([CUT_]) ([iod]) ([agr]) (.*) (\S+) ([01]) (\S+) ([ci])$"
-)
+#: The fields of an FTP transfer log line, in order, and what each may hold.
+_XFERLOG = {
+    "day_name": r"\w+", "month": r"\w+", "day": r"\d+", "current_time": r"\d{2}:\d{2}:\d{2}", "year": r"\d{4}", "transfer_time": r"\d+",
+    "remote_host": r"\S+", "file_size": r"\d+", "filename": r".*?", "transfer_type": "[abm]", "special_action_flag": r"\S+",
+    "direction": "[oidaSm]", "access_mode": "[ragw]", "username": r"\S+", "service_name": r"\S+", "authentication_method": r"\d+",
+    "authenticated_user_id": r"\S+", "completion_status": "[ci]",
+}
+XFERLOG = tuple(_XFERLOG)
+XFERLOG_PATTERN = "^" + r"\s+".join(f"({held})" for held in _XFERLOG.values()) + "$"
 
 
 def parse_xferlog(lines: DataFrame) -> DataFrame:

@@ -68,6 +68,26 @@ def test_server_logs(spark):
     assert len(row) == 1 and (row[0]["file_size"], row[0]["username"], row[0]["completion_status"]) == ("2611", "tmp", "c")
 
 
+def test_server_logs_with_more_behind(spark):
+    head = '1.2.3.4 - - [07/Feb/2011:10:59:59 +0900] "GET /x HTTP/1.1" 200'
+    long = "x" * 20_000
+    texts = [f'{head} 9891 "-" "agent" extra', f"{head} 23 17", f"v {head} 23 more", f'{head} 1 "{long}\\" "b"', f"{head}", f'{head} 1 "a']
+    rows = L.parse_apache(spark.createDataFrame(list(enumerate(texts)), "k long, value string"), ["combined", "common", "vhost"]).orderBy("k").collect()
+    assert [(r["k"], r["vhost"], r["bytes"], r["agent"] and r["agent"][:9]) for r in rows] == [
+        (0, None, "9891", "agent"), (1, None, "23", None), (2, "v", "23", None), (3, None, "1", "b"), (5, None, "1", None),
+    ]
+    ftp = "Mon Oct  1 17:09:23 2001 0 h 2611 two  names {} {} {} r tmp ftp 0 * c"
+    lines = [ftp.format(*x) for x in (("m", "X", "S"), ("b", "CU", "a"), ("z", "_", "o"))]
+    got = L.parse_xferlog(spark.createDataFrame([(t,) for t in lines], "value string")).collect()
+    assert [(r["filename"], r["transfer_type"], r["special_action_flag"], r["direction"]) for r in got] == [("two  names", "m", "X", "S"), ("two  names", "b", "CU", "a")]
+
+
+def test_groups_without_a_part_are_null(spark):
+    frame = spark.createDataFrame([("b",), ("ab",), ("xb ab",)], "value string")
+    assert [tuple(r) for r in L.parse_re(frame, "(a)?(b)").collect()] == [(None, "b"), ("a", "b"), (None, "b")]
+    assert [tuple(r) for r in L.parse_re(frame, "(a*)(b)").collect()] == [("", "b"), ("a", "b"), ("", "b")]
+
+
 TEXT = "team: A\nname: x\nteam: B\nname: y\nloc: z\n"
 
 
