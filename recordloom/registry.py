@@ -681,6 +681,21 @@ def frommultire(spark, sf_dir):
     return L.parse_multi_re(lines, patterns, ["line"], by=["n_regionkey"]).select("region", "names")
 
 
+@query("""SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CASE WHEN value > 50 THEN CAST(user_id AS VARCHAR) END AS user,
+CAST(max(CASE WHEN event_id % 100 = 0 THEN event_id END) OVER (ORDER BY event_id) AS VARCHAR) AS block FROM events""")
+def frommultire_stream(spark, sf_dir):
+    """All events as one stream of lines, up to four a record; the block's line stays for the records behind it."""
+    events = table(spark, sf_dir, "events")
+    texts = F.array(
+        F.when(F.col("event_id") % 100 == 0, F.format_string("block %d", "event_id")), F.format_string("id %d", "event_id"),
+        F.format_string("kind %s", "event_type"), F.when(F.col("value") > 50, F.format_string("user %d", "user_id")),
+    )
+    lines = events.select("event_id", F.posexplode(F.array_compact(texts)).alias("line", "value"))
+    patterns = [(r"^block (\d+)", ["block"], "pre"), (r"^id (\d+)", ["id"], "pre"), (r"^kind (.*)", ["kind"], ""), (r"^user (\d+)", ["user"], "")]
+    out = L.parse_multi_re(lines, patterns, ["event_id", "line"], by=[], keep=["block"])
+    return out.select("id", "kind", "user", "block")
+
+
 @query("""SELECT CAST(r_regionkey AS VARCHAR) || ',' || r_name AS value FROM region""")
 def tocsv(spark, sf_dir):
     return writers.csv_lines(table(spark, sf_dir, "region"), ["r_regionkey", "r_name"])

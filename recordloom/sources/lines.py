@@ -7,13 +7,14 @@ with a ``value`` column, keep its other columns, and run as column expressions.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.sources.multiline import parse_multi_re as parse_multi_re
+
 #: Columns that give lines of files their order.
 LINE_ORDER = ["_file", "_block", "_line"]
 
@@ -178,62 +179,6 @@ def parse_xferlog(lines: DataFrame) -> DataFrame:
     return parse_re(lines, XFERLOG_PATTERN, XFERLOG)
 
 
-def parse_multi_re(
-    lines: DataFrame, patterns: Sequence[tuple[str, Sequence[str], str]], order: Sequence[str], by: Sequence[str] = ("_file",),
-    clobber: bool = False, keep: Sequence[str] = (), keep_all: bool = False,
-) -> DataFrame:
-    """Records put together from several lines.
-
-    ``patterns`` are (regex, field names, role); role is any of ``pre`` (emit
-    the open record before the match), ``post`` (emit it after), joined by
-    ``+``, or empty. A field that is set already emits the open record first,
-    unless ``clobber``. ``keep`` fields stay for the next record.
-
-    The state runs through a file from its first line on: each ``by`` group is
-    one sequential pass, streamed in batches, files in parallel.
-    """
-    compiled = [(re.compile(p), list(names), set(role.split("+"))) for p, names, role in patterns]
-    fields = list(dict.fromkeys(n for p, names, _ in compiled for n in [*names, *map(str, range(len(names), p.groups))][: p.groups]))
-    group = list(by)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, {}
-        for frame in frames:
-            made: list[dict] = []
-
-            def emit() -> None:
-                nonlocal held
-                if set(held) - set(keep):
-                    made.append(dict(zip(group, at)) | held)
-                held = dict(held) if keep_all else {k: v for k, v in held.items() if k in keep}
-
-            for row in frame.itertuples(index=False):
-                place = tuple(getattr(row, f"g{k}") for k in range(len(group)))
-                if place != at:
-                    if at is not None and held and not clobber:
-                        emit()
-                    at, held = place, {}
-                for pattern, names, role in compiled:
-                    if found := pattern.search(row.value):
-                        if "pre" in role and held:
-                            emit()
-                        given = [*names, *map(str, range(len(names), pattern.groups))][: pattern.groups]
-                        new = {n: v for n, v in zip(given, found.groups()) if v is not None}
-                        if not clobber and set(new) & (set(held) - set(keep)):
-                            emit()
-                        held |= new
-                        if "post" in role:
-                            emit()
-            yield pd.DataFrame(made, columns=[*group, *fields], dtype=object)
-        if set(held) - set(keep) and not clobber:
-            yield pd.DataFrame([dict(zip(group, at)) | held], columns=[*group, *fields], dtype=object)
-
-    kinds = ", ".join(f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in group)
-    rows = lines.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, *order)
-    rows = rows.select("value", *[F.col(c).alias(f"g{k}") for k, c in enumerate(group)])
-    return rows.mapInPandas(run, kinds + "".join(f", `{f}` string" for f in fields))
-
-
 def parse_lines_as(lines: DataFrame, column: Column, name: str) -> DataFrame:
     """A field computed from the line."""
     return lines.withColumn(name, column).drop("value")
