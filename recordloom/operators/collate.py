@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from recordloom.functions import coerce
 from recordloom.functions.aggregators import Aggregate, Fields, build, parse
 from recordloom.functions.keys import kind_of, name_of, resolve, value
 from recordloom.functions.running import power_states, running_form
+from recordloom.plans import order as P
 from recordloom.plans.order import (
     OWN, PLACE, State, by_columns, changed, chunked, in_chunk, numbered, own_rows, running, scan, segmented,
 )
@@ -253,3 +256,59 @@ def collate_rolling(df: DataFrame, size: int, aggregates: Sequence[Spec], order:
     out = out.filter(F.col(OWN) & (F.col("_held") == size))
     columns = [F.col(c) for c in order if c not in map(name_of, by)]
     return out.select(*columns, *[value(df, p).alias(name_of(p)) for p in by], *[F.col(f"_value{i}").alias(n) for i, (n, _) in enumerate(made)])
+
+
+def _open_keys(rows: DataFrame, size: int) -> DataFrame:
+    """``chunk`` and ``open``: the last ``size`` distinct keys before it, the latest first.
+
+    Each chunk lists its own; a list that isn't full takes on the list of the
+    chunk before, then of the chunks two, four, … before, which by then stand
+    for so many chunks each. Few rounds are needed, as a chunk holds many keys.
+    """
+    last = rows.groupBy("chunk", "_key").agg(F.max(PLACE).alias("at"))
+    latest = F.sort_array(F.collect_list(F.struct("at", "_key")), asc=False)
+    lists = last.groupBy((F.col("chunk") + 1).alias("chunk")).agg(F.slice(F.transform(latest, lambda x: x["_key"]), 1, size).alias("open"))
+    lists, step = keep(lists, "open-keys"), 1
+    while not lists.filter((F.size("open") < size) & (F.col("chunk") > step)).isEmpty():
+        before = lists.select((F.col("chunk") + step).alias("chunk"), F.col("open").alias("more"))
+        both = F.slice(F.array_distinct(F.concat("open", F.coalesce("more", F.array().cast("array<string>")))), 1, size)
+        lists = keep(lists.join(before, "chunk", "left").select("chunk", both.alias("open")), "open-keys")
+        step *= 2
+    return lists
+
+
+def collate_recent(df: DataFrame, key: str, size: int, aggregates: Sequence[Spec], order: list[str]) -> DataFrame:
+    """Group by a key's text, with at most ``size`` groups open: the one whose last record is longest ago is closed.
+
+    A closed key's next record opens a group of its own, so a key may come
+    several times; ``began`` is the number of the group's first record. Null,
+    missing and empty text are one key.
+
+    What is open at a point are the last ``size`` distinct keys before it. They
+    are found for the start of each chunk, from where chunks run on in parallel.
+    """
+    if size < 1:
+        raise ValueError("at least one group must be open")
+    chunk_rows = P.CHUNK_ROWS
+    rows = numbered(df, order)
+    held = rows.select(PLACE, by_columns(df, [key])[0].alias("_key"), F.floor(F.col(PLACE) / chunk_rows).alias("chunk"))
+
+    def opened(table: pa.Table, before: pa.Table) -> pa.Table:
+        table = table.sort_by(PLACE)
+        now: OrderedDict[str, None] = OrderedDict((k, None) for k in reversed(before.column("open")[0].as_py() if before.num_rows else []))
+        flags = []
+        for found in table.column("_key").to_pylist():
+            flags.append(found not in now)
+            now[found] = None
+            now.move_to_end(found)
+            if len(now) > size:
+                now.popitem(last=False)
+        return pa.table({"_at": table.column(PLACE), "_key": table.column("_key"), "_opens": pa.array(flags, pa.bool_())})
+
+    begun = held.groupBy("chunk").cogroup(_open_keys(held, size).groupBy("chunk")).applyInArrow(opened, "_at long, _key string, _opens boolean")
+    begun = begun.filter("_at is not null").withColumnRenamed("_at", "_row")
+    by_key, groups = segmented(begun, [F.col("_key")], ["_row"])
+    group = scan(by_key, {"began": State("max", F.when(F.col("_opens"), F.col("_row")))}, groups).select("_row", "began", "_key")
+    joined = rows.join(group.withColumnRenamed("_row", PLACE), PLACE)
+    shown = (name_of(key), lambda f: Aggregate([F.min_by(f.raw(key), F.col(PLACE))]))
+    return collate(joined, ["_key", "began"], [shown, *aggregates], [PLACE]).drop("_key")

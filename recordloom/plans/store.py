@@ -23,11 +23,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back; the table goes when the driver's JVM ends."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` and read it back; the table goes when the driver's JVM ends."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,6 +18,7 @@ from recordloom.operators import reshape as S
 from recordloom.operators import rows as R
 from recordloom.operators.profile import profile
 from recordloom.plans.order import PLACE, numbered, placed
+from recordloom.plans.store import fresh_path
 from recordloom.sinks import writers
 from recordloom.sources import lines as L
 from recordloom.streaming import events as E
@@ -231,6 +232,18 @@ def collate_adjacent(spark, sf_dir):
     return C.collate_adjacent(table(spark, sf_dir, "events"), ["event_type"], ["count", "high=max,value"], EVENTS)
 
 
+@query("""WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, user_id % 40 AS part FROM events),
+p AS (SELECT *, lag(i) OVER (PARTITION BY part ORDER BY i) AS prev FROM e),
+g AS (SELECT p.i, count(DISTINCT q.part) AS between_keys FROM p JOIN e q ON q.i > p.prev AND q.i < p.i GROUP BY 1),
+o AS (SELECT p.*, CASE WHEN prev IS NULL OR coalesce(between_keys, 0) >= 30 THEN p.i END AS opens FROM p LEFT JOIN g ON g.i = p.i),
+r AS (SELECT *, max(opens) OVER (PARTITION BY part ORDER BY i) AS began FROM o)
+SELECT began, part, count(*) AS count, max(event_id) AS last_id FROM r GROUP BY 1, 2""")
+def collate_keylru(spark, sf_dir):
+    """At most 30 groups are open."""
+    events = table(spark, sf_dir, "events").withColumn("part", F.col("user_id") % 40)
+    return C.collate_recent(events, "part", 30, ["count", "last_id=max,event_id"], EVENTS).withColumn("last_id", F.col("last_id").cast("bigint"))
+
+
 @query("""SELECT event_id, round(sum(value) OVER w, 4) AS total, max(value) OVER w AS high FROM events
 WINDOW w AS (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) QUALIFY row_number() OVER (ORDER BY event_id) >= 5""")
 def collate_rolling(spark, sf_dir):
@@ -706,6 +719,37 @@ def tojsonlines(spark, sf_dir):
     return writers.json_lines(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
 
 
+@query("""SELECT c_custkey, c_name || chr(10) || '"' || c_mktsegment || '", "' AS note, c_acctbal FROM customer""")
+def fromcsv(spark, sf_dir):
+    """Quoted line breaks, delimiters and quotes, written and read back with types."""
+    customer = table(spark, sf_dir, "customer")
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", "'))
+    path = fresh_path(spark, "csv")
+    writers.write_csv(customer.select("c_custkey", note.alias("note"), "c_acctbal"), path, ["c_custkey", "note", "c_acctbal"])
+    out = L.read_csv(spark, path, header=True, infer=True)
+    return out.withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus || '}{"' AS mark, o_totalprice, [o_custkey, o_orderkey] AS keys FROM orders""")
+def tojsonarray(spark, sf_dir):
+    """One array over several files, read back."""
+    orders = table(spark, sf_dir, "orders")
+    path = fresh_path(spark, "json-array")
+    mark = F.concat("o_orderstatus", F.lit('}{"')).alias("mark")
+    writers.write_json_array(orders.select("o_orderkey", mark, "o_totalprice", F.array("o_custkey", "o_orderkey").alias("keys")).repartition(5), path)
+    return L.read_json_array(spark, path).select("o_orderkey", "mark", "o_totalprice", "keys")
+
+
+@query("""SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def fromjsonarray(spark, sf_dir):
+    """Nested objects of one array with line breaks inside."""
+    events = table(spark, sf_dir, "events")
+    path = fresh_path(spark, "json-objects")
+    shown = F.to_json(F.struct("event_id", "event_type", F.from_json("props", "k bigint").alias("props")), {"pretty": "true"})
+    events.select(F.concat(shown, F.lit(",")).alias("value")).write.text(path)
+    return L.read_json_array(spark, path, schema="event_id bigint, event_type string, props struct<k: bigint>").select("event_id", "event_type", "props.k")
+
+
 @query("SELECT CAST(l_quantity AS BIGINT)::VARCHAR AS q, count(*) AS n FROM lineitem GROUP BY 1")
 def number_text(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")

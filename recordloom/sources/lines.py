@@ -12,8 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.sources.multiline import parse_multi_re as parse_multi_re
+from recordloom.sources.splits import CsvCut, JsonCut, records
 
 #: Columns that give lines of files their order.
 LINE_ORDER = ["_file", "_block", "_line"]
@@ -37,33 +39,84 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: str | No
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+#: A number as type inference takes it.
+_PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _inferred(frame: DataFrame) -> DataFrame:
+    """Text columns as int, bigint, double, timestamp or boolean where all their values can be such, by one aggregate."""
+    tests, kinds = {}, ("int", "bigint", "double", "timestamp", "boolean")
+    for k, name in enumerate(frame.columns):
+        column = F.col(f"`{name}`")
+        for kind in kinds:
+            fits = column.try_cast(kind).isNotNull()
+            fits = fits & column.rlike(_PLAIN_NUMBER) if kind in ("int", "bigint", "double") else fits & ~column.rlike(_PLAIN_NUMBER)
+            tests[f"{kind}{k}"] = F.bool_and(F.when(column.isNotNull(), fits))
+    found = frame.agg(*[c.alias(n) for n, c in tests.items()]).first()
+    chosen = [next((kind for kind in kinds if found[f"{kind}{k}"]), "string") for k in range(len(frame.columns))]
+    return frame.select(*[F.col(f"`{n}`").try_cast(kind).alias(n) if kind != "string" else F.col(f"`{n}`") for n, kind in zip(frame.columns, chosen)])
+
+
 def read_csv(
     spark: SparkSession, path: str | list[str], fields: Sequence[str] = (), header: bool = False, strict: bool = False,
-    delimiter: str = ",", quote: str = '"', escape: str = '"', infer: bool = False,
+    delimiter: str = ",", quote: str = '"', escape: str = '"', infer: bool = False, places: bool = False,
 ) -> DataFrame:
     """CSV with quoted line breaks; values are text (numbers where they look so, with ``infer``).
 
-    Columns without a name are named by their index. Not strict: white space
-    around values goes. Strict: an ill-formed file fails the job.
+    Columns without a name are named by their index, as many as the widest
+    record has. Not strict: white space around values goes. Strict: an ill-formed
+    record fails the job. ``header``: the first record of each file is none, the
+    first file's gives the names after ``fields``. ``places`` adds
+    ``LINE_ORDER``, which orders the records.
+
+    A file is read in splits, wherever they cut it (``splits.records``).
+    """
+    trim = str(not strict).lower()
+    rows = records(spark, path, CsvCut(delimiter, quote, escape, not strict))
+    width = (rows.agg(F.max("width")).first()[0] or 0) + 1
+    options = {
+        "sep": delimiter, "quote": quote, "escape": escape, "mode": "FAILFAST" if strict else "PERMISSIVE",
+        "ignoreLeadingWhiteSpace": trim, "ignoreTrailingWhiteSpace": trim, "maxCharsPerColumn": "-1", "maxColumns": str(max(width, 20_480)),
+    }
+    parsed = F.from_csv("value", ", ".join(f"c{k} string" for k in range(width)), options)
+    names: list[str] = list(fields)
+    if header:
+        first = (F.col("_block") == 0) & (F.col("_line") == 0)
+        found = rows.filter(first).orderBy("_file").select(parsed.alias("r")).first()
+        names += [n for n in found["r"] if n is not None] if found else []
+        rows = rows.filter(~first)
+    names += [str(k) for k in range(len(names), width)]
+    frame = rows.select(parsed.alias("r"), *LINE_ORDER)
+    out = frame.select(*[F.col(f"r.c{k}").alias(n) for k, n in enumerate(names[:width])], *LINE_ORDER if places else [])
+    return _inferred(out) if infer else out
+
+
+def _inferred_json(rows: DataFrame) -> str:
+    """A type that all objects fit, by one aggregate; fields whose values differ in kind become text."""
+    found = rows.agg(F.schema_of_variant_agg(F.try_parse_json("value"))).first()[0] or "VOID"
+    if not found.startswith("OBJECT<"):
+        return "struct<>"
+    found = re.sub(r"\bDECIMAL\(\d+,\d+\)", "DOUBLE", found).replace("OBJECT<", "STRUCT<")
+    return re.sub(r": ?(VOID|VARIANT)\b", ": STRING", re.sub(r"<(VOID|VARIANT)>", "<STRING>", found))
+
+
+def read_json_array(
+    spark: SparkSession, path: str | list[str], keys: Sequence[str] = (), schema: str | None = None, places: bool = False
+) -> DataFrame:
+    """The objects of top-level arrays; ``keys`` keeps some fields, a missing one is null.
+
+    A file is read in splits, wherever they cut it (``splits.records``): objects
+    are found by their braces, so an array may also be spread over several
+    files, as ``write_json_array`` writes it, and objects may stand alone.
+    Elements that are no objects are passed over. Without a ``schema`` one more
+    pass finds it. ``places`` adds ``LINE_ORDER``, which orders the records.
     """
-    reader = spark.read.options(
-        header=str(header).lower(), sep=delimiter, quote=quote, escape=escape, multiLine="true",
-        ignoreLeadingWhiteSpace=str(not strict).lower(), ignoreTrailingWhiteSpace=str(not strict).lower(),
-        mode="FAILFAST" if strict else "PERMISSIVE", inferSchema=str(infer).lower(),
-    )
-    frame = reader.csv(path)
-    names = frame.columns if header else [str(k) for k in range(len(frame.columns))]
-    given = [*fields, *(names if header else names[len(fields) :])][: len(frame.columns)]
-    return frame.toDF(*[*given, *[str(k) for k in range(len(given), len(frame.columns))]])
-
-
-def read_json_array(spark: SparkSession, path: str | list[str], keys: Sequence[str] = (), schema: str | None = None) -> DataFrame:
-    """The objects of top-level arrays; ``keys`` keeps some fields, a missing one is null."""
-    reader = spark.read.option("multiLine", "true")
-    frame = (reader.schema(schema) if schema else reader).json(path)
-    if not keys:
-        return frame
-    return frame.select(*[F.col(k) if k in frame.columns else F.lit(None).cast("string").alias(k) for k in keys])
+    rows = records(spark, path, JsonCut())
+    kind = T.StructType.fromDDL(schema) if schema else T.DataType.fromDDL(_inferred_json(rows))
+    frame = rows.select(F.from_json("value", kind).alias("r"), *LINE_ORDER)
+    every = keys or kind.names
+    picked = [F.col("r").getField(k).alias(k) if k in kind.names else F.lit(None).cast("string").alias(k) for k in every]
+    return frame.select(*picked, *LINE_ORDER if places else [])
 
 
 def parse_kv(lines: DataFrame, kv: str = " ", entry: str = "\n") -> DataFrame:

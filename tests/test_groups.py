@@ -167,3 +167,19 @@ def test_empty(rows):
     assert C.collate_running(none, ["g"], SPECS, ["o"]).count() == 0
     assert by(none, O.substream, order=["o"], begin="{{x}} < 0", end="{{x}} > 0").count() == 0
     assert by(none, C.collate_adjacent, keys=["s"], aggregates=["n=count"], order=["o"]).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 50])
+def test_recent_groups(rows, spark, size):
+    """Groups of a bounded number, against a list of open ones; most chunks see few keys, so lists reach far back."""
+    marked = rows.withColumn("k", F.when(F.col("o") < 300, F.col("g")).otherwise((F.col("o") % 7).cast("string")))
+    open_groups, want = {}, []
+    for r in sorted(ROWS):
+        key = (r[1] or "") if r[0] < 300 else str(r[0] % 7)
+        held = open_groups.pop(key, None) or [r[0], key, 0, 0]
+        open_groups[key] = [held[0], key, held[2] + 1, r[0]]
+        while len(open_groups) > size:
+            want.append(tuple(open_groups.pop(next(iter(open_groups)))))
+    want += [tuple(v) for v in open_groups.values()]
+    found = C.collate_recent(marked, "k", size, ["n=count", "last=last,o"], ["o"])
+    assert sorted((r["began"], r["k"] or "", r["n"], r["last"]) for r in found.collect()) == sorted(want)
