@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions.keys import assign, value
 from recordloom.operators import collate as C
 from recordloom.operators import ordering as O
 from recordloom.operators import reshape as S
@@ -93,8 +94,16 @@ class Flow:
         return self.then(O.topn, n, keys, ordered=True)
 
     def decollate(self, field: str) -> Flow:
-        """One record for each element of an array field, in its place; an empty array gives none."""
-        return self.then(S.unarray, field, field)
+        """One record for each element of an array field, in its place; an empty array gives none.
+
+        The new place, kept in ``_place``, is the record's own and the element's within it.
+        """
+        if not self.order:
+            return self.then(S.unarray, field, field)
+        place = F.struct(*[F.col(f"`{c}`") for c in self.order], F.col("_element"))
+        opened = self.df.select("*", F.posexplode(value(self.df, field)).alias("_element", "_value"))
+        made = opened.withColumn(PLACE, place).drop("_element")
+        return Flow(assign(made, field, F.col("_value")).drop("_value"), (PLACE,))
 
     def concat(self, other: Flow) -> Flow:
         """These records, then the other's."""

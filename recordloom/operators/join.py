@@ -37,8 +37,12 @@ def join(
     The value of ``other`` also replaces a column that gives ``df`` its order: drop
     such a column from ``other`` first if the order is to stay.
 
-    Spark chooses between a broadcast and a shuffle by the sides' sizes.
+    Spark chooses between a broadcast and a shuffle by the sides' sizes. Columns
+    named ``_hit``, ``_own``, ``_l0``, ``_r0`` and so on are refused.
     """
+    helpers = {"_hit", "_own", *[f"_{side}{k}" for side in "lr" for k in range(len(on))]}
+    if taken := helpers & {*df.columns, *other.columns}:
+        raise ValueError(f"rename the columns {sorted(taken)}: joins use these names")
     tests, a, b = [], df, other
     for k, (mine, theirs) in enumerate(on):
         left, right = value(df, mine), value(other, theirs)

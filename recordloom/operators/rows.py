@@ -125,9 +125,17 @@ def _opened(item: Any) -> Any:
     return {k: _opened(e) for k, e in item.items()} if isinstance(item, dict) else item
 
 
+def _opened_json(text: str | None) -> str | None:
+    """Nested deeper than Python's own stack, a text stays as it is."""
+    try:
+        return None if text is None else json.dumps(_opened(text))
+    except RecursionError:
+        return json.dumps(text)
+
+
 @F.pandas_udf(T.StringType())
 def _opened_text(column: pd.Series) -> pd.Series:
-    return column.map(lambda text: None if text is None else json.dumps(_opened(text)))
+    return column.map(_opened_json)
 
 
 def expand_json(
@@ -138,7 +146,8 @@ def expand_json(
     A field with a ``schema`` (DDL) becomes that type; others become VARIANT,
     where text that isn't an object, array, quoted string, true, false or null
     stays text. Without keys all top-level text fields are tried. ``recursive``
-    also parses texts inside the parsed values, however deep.
+    also parses texts inside the parsed values; nested some hundred levels deep, a
+    text stays text.
     """
     schema = schema or {}
     paths = [p for key in keys for p in resolve(df.schema, key)]

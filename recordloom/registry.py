@@ -19,7 +19,7 @@ from recordloom.operators import rows as R
 from recordloom.operators.profile import profile
 from recordloom.plans.order import PLACE, numbered, placed
 from recordloom.plans.store import fresh_path
-from recordloom.sinks import writers
+from recordloom.sinks import raster, writers
 from recordloom.sources import lines as L
 from recordloom.streaming import events as E
 
@@ -750,6 +750,22 @@ def fromjsonarray(spark, sf_dir):
     return L.read_json_array(spark, path, schema="event_id bigint, event_type string, props struct<k: bigint>").select("event_id", "event_type", "props.k")
 
 
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n, min(value) OVER () AS a, max(value) OVER () AS z FROM events),
+d AS (SELECT i, CAST(floor(i / (n - 1) * 139 + 0.5) AS INTEGER) AS x, CAST(floor((value - a) / (z - a) * 63 + 0.5) AS INTEGER) AS y FROM n)
+SELECT x, arg_min(y, i) AS first, arg_max(y, i) AS last, min(y) AS low, max(y) AS high FROM d GROUP BY 1""")
+def tochart_line(spark, sf_dir):
+    """The dot columns of a line through all events."""
+    return raster.line_columns(table(spark, sf_dir, "events"), EVENTS, ["value"], 140, 64)[0].drop("series")
+
+
+@query("""WITH n AS (SELECT *, min(l_quantity) OVER () AS a, max(l_quantity) OVER () AS b, min(l_extendedprice) OVER () AS c, max(l_extendedprice) OVER () AS d FROM lineitem)
+SELECT CAST(floor((l_quantity - a) / (b - a) * 139 + 0.5) AS INTEGER) AS x, CAST(floor((l_extendedprice - c) / (d - c) * 63 + 0.5) AS INTEGER) AS y,
+count(*) AS n FROM n GROUP BY 1, 2""")
+def tochart_scatter(spark, sf_dir):
+    """The dots of a scatter of all line items."""
+    return raster.scatter_dots(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_extendedprice"], 140, 64)[0]
+
+
 @query("SELECT CAST(l_quantity AS BIGINT)::VARCHAR AS q, count(*) AS n FROM lineitem GROUP BY 1")
 def number_text(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
