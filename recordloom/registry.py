@@ -123,6 +123,12 @@ def generate(spark, sf_dir):
     return R.generate(table(spark, sf_dir, "nation"), code).select("id", F.col("_chain.n_name").alias("parent"))
 
 
+@query("""SELECT o_orderkey * 10 + k AS id, o_orderstatus AS parent FROM orders, (SELECT unnest([1, 2, 3]) AS k)""")
+def generate_orders(spark, sf_dir):
+    code = "transform(sequence(1, 3), k -> struct({{o_orderkey}} * 10 + k as id))"
+    return R.generate(table(spark, sf_dir, "orders"), code).select("id", F.col("_chain.o_orderstatus").alias("parent"))
+
+
 @query("SELECT event_id, CAST(floor(epoch(ts) / 3600) * 3600 AS DOUBLE) AS n_ts FROM events")
 def normalizetime_strict(spark, sf_dir):
     out = R.normalize_time(table(spark, sf_dir, "events"), "ts", "1h")
@@ -376,6 +382,42 @@ def domain_folds(spark, sf_dir):
     return C.collate(table(spark, sf_dir, "nation"), ["n_regionkey"], specs, ["n_nationkey"])
 
 
+@query("""SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS types, string_agg(DISTINCT event_type, '+' ORDER BY event_type) AS kinds,
+string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY 1""")
+def agg_lists(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    out = C.collate(events, ["user_id"], ["types=concatenate,|,event_type", "kinds=uconcat,+,event_type", "ids=array,event_id"], EVENTS)
+    return out.withColumn("types", F.replace("types", F.lit("|"), F.lit(","))).withColumn("ids", F.concat_ws(",", F.col("ids").cast("array<string>")))
+
+
+@query("""SELECT user_id, unnest(list_sort(list_distinct(list(event_type)))) AS kind FROM events GROUP BY 1""")
+def agg_uarray_users(spark, sf_dir):
+    out = C.collate(table(spark, sf_dir, "events"), ["user_id"], ["u=uarray,event_type"])
+    return out.select("user_id", F.explode("u").alias("kind"))
+
+
+@query("""SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
+def agg_values_to_keys_users(spark, sf_dir):
+    out = C.collate(table(spark, sf_dir, "events"), ["user_id"], ["m=vk,event_type,value"], EVENTS)
+    return out.select("user_id", F.explode("m").alias("event_type", "value"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders""")
+def agg_records_orders(spark, sf_dir):
+    out = C.collate(table(spark, sf_dir, "orders"), ["o_custkey"], ["r=records"], ["o_orderkey"])
+    out = out.select(F.posexplode("r").alias("place", "r"))
+    return out.select("r.o_custkey", "r.o_orderkey", "r.o_totalprice", F.col("place").cast("bigint").alias("place"))
+
+
+@query("""SELECT o_custkey, CAST(sum(o_orderkey % 7) AS BIGINT) AS folded, max(o_orderkey) AS reduced FROM orders GROUP BY 1""")
+def domain_folds_orders(spark, sf_dir):
+    specs = [
+        ("folded", domain.fold(F.lit(0).cast("bigint"), "cast({{o_orderkey}} % 7 as bigint)", lambda a, x: a + x)),
+        ("reduced", domain.map_reduce("{{o_orderkey}}", lambda a, x: F.greatest(a, x))),
+    ]
+    return C.collate(table(spark, sf_dir, "orders"), ["o_custkey"], specs, ["o_orderkey"])
+
+
 # --- join ------------------------------------------------------------------------------------
 
 _SIDES = """WITH i AS (SELECT o_orderkey AS id, o_custkey AS ref, o_orderstatus AS tag FROM orders),
@@ -553,6 +595,12 @@ def concat(spark, sf_dir):
     return O.concat(nation, table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), "r_regionkey"))
 
 
+@query("""SELECT event_id AS id, user_id, NULL::DOUBLE AS o_totalprice FROM events UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders""")
+def concat_streams(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id")
+    return O.concat(events, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"))
+
+
 @query("""SELECT event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id)""")
 def uniq_adjacent(spark, sf_dir):
     return O.uniq(table(spark, sf_dir, "events"), ["event_type"], EVENTS).select("event_id", "event_type")
@@ -638,6 +686,13 @@ def fromkv(spark, sf_dir):
     return L.fields_of_map(L.parse_kv(blocks, "=", "\n"), "record", ["name", "region"])
 
 
+@query("SELECT event_id, event_type AS type, CAST(user_id AS VARCHAR) AS user FROM events")
+def fromkv_events(spark, sf_dir):
+    """The last of two entries of one key counts."""
+    blocks = table(spark, sf_dir, "events").select("event_id", F.format_string("type=old\nuser=%d\ntype=%s\nodd\na=b=c", "user_id", "event_type").alias("value"))
+    return L.fields_of_map(L.parse_kv(blocks, "=", "\n"), "record", ["type", "user"])
+
+
 @query("""SELECT event_id, 'h' || user_id AS rhost, event_type AS path, CAST(user_id % 500 AS VARCHAR) AS status FROM events""")
 def fromapache(spark, sf_dir):
     events = table(spark, sf_dir, "events")
@@ -730,14 +785,15 @@ def fromcsv(spark, sf_dir):
     return out.withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
 
 
-@query("""SELECT o_orderkey, o_orderstatus || '}{"' AS mark, o_totalprice, [o_custkey, o_orderkey] AS keys FROM orders""")
+@query("""SELECT o_orderkey, o_orderstatus || '}{"' AS mark, o_totalprice, o_custkey AS first_key, o_orderkey AS second_key FROM orders""")
 def tojsonarray(spark, sf_dir):
     """One array over several files, read back."""
     orders = table(spark, sf_dir, "orders")
     path = fresh_path(spark, "json-array")
     mark = F.concat("o_orderstatus", F.lit('}{"')).alias("mark")
     writers.write_json_array(orders.select("o_orderkey", mark, "o_totalprice", F.array("o_custkey", "o_orderkey").alias("keys")).repartition(5), path)
-    return L.read_json_array(spark, path).select("o_orderkey", "mark", "o_totalprice", "keys")
+    out = L.read_json_array(spark, path)
+    return out.select("o_orderkey", "mark", "o_totalprice", F.get("keys", 0).alias("first_key"), F.get("keys", 1).alias("second_key"))
 
 
 @query("""SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
@@ -766,6 +822,19 @@ def tochart_scatter(spark, sf_dir):
     return raster.scatter_dots(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_extendedprice"], 140, 64)[0]
 
 
+@query("""SELECT o_orderkey || ',' || o_orderstatus || ',' || chr(34) || o_orderpriority || ',' || chr(34) || chr(34) || 'x' || chr(34) AS value FROM orders""")
+def tocsv_orders(spark, sf_dir):
+    """Values with delimiters and quotes."""
+    orders = table(spark, sf_dir, "orders").withColumn("note", F.concat("o_orderpriority", F.lit(',"x')))
+    return writers.csv_lines(orders, ["o_orderkey", "o_orderstatus", "note"])
+
+
+@query("""SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '","note":null,"at":{"user_id":' || user_id || '}}' AS value FROM events""")
+def tojsonlines_events(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return writers.json_lines(events.select("event_id", "event_type", F.lit(None).cast("string").alias("note"), F.struct("user_id").alias("at")))
+
+
 @query("SELECT CAST(l_quantity AS BIGINT)::VARCHAR AS q, count(*) AS n FROM lineitem GROUP BY 1")
 def number_text(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
