@@ -112,8 +112,8 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
     very short item matches only documents that consist of it. Null texts and
     texts without words match nothing, null ids are kept as they are. Repeated
     documents each have their rows; items that share an id and text count once.
-    An empty table on either side gives an empty result; other columns are
-    ignored. Documents are read once for each block of items, without a shuffle.
+    Very long texts are searched whole. An empty table on either side gives an
+    empty result; other columns are ignored, whatever their names. Documents are read once for each block of items, without a shuffle.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, item_shingles long, shared long"
@@ -139,7 +139,11 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
 def decontaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that contain a test item; all columns stay.
 
-    Rows are dropped where they are read: nothing is joined or shuffled.
+    Rows are dropped where they are read: nothing is joined or shuffled. Each
+    row is judged by its own text, so repeated rows and rows of one id share no
+    fate unless their texts do; null and empty texts and null ids stay; exactly
+    ``percent`` % is enough; very long texts are searched whole. An empty table
+    on either side drops nothing; clashing columns are only passed on.
     """
     at = docs.columns.index("text")
     for index in _item_blocks(items, words, percent):

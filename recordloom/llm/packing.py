@@ -64,8 +64,9 @@ def pack(
     that crosses a boundary has a boundary record on either side of it.
 
     A null or empty text is its end id alone. Null ids, repeated rows and ties
-    are packed like all others; an empty table has no pieces; other columns
-    are ignored.
+    are packed like all others; a very long text is encoded whole and lies in
+    many sequences; an empty table has no pieces; other columns are ignored,
+    whatever their names.
     """
     encoded = encode_in_place(docs, tokenizer_path, end_id, kind)
     totals = encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # one row a partition

@@ -119,8 +119,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     without gaps. ``grown_shard`` is null under this law.
 
     A null text has size 1 and the crc32 of an empty text, and shares the empty
-    texts' group. Null ids come first in their shard. An empty table gives an
-    empty result; other columns are ignored.
+    texts' group. Null ids come first in their shard. Very long texts count in
+    full; repeated rows keep a slot each. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(

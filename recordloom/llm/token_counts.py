@@ -86,9 +86,9 @@ def count_tokens(
     No begin, end or padding tokens are added; an added token's string inside a
     text is one token, the library's default. Rows map to rows, with no shuffle.
 
-    A null or empty text has 0 bytes and 0 tokens; a null id, repeated rows and
-    ties keep their rows; an empty table gives an empty result; other columns
-    are ignored, whatever their names.
+    A null or empty text has 0 bytes and 0 tokens; very long texts are counted
+    whole; a null id, repeated rows and ties keep their rows; an empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     proven = spark.sparkContext.broadcast(whole_tokens(tokenizer_path))

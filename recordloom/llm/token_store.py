@@ -98,8 +98,9 @@ def write_store(
     shard; a shard's packs are written as they fill up, so memory stays bounded.
 
     A null text counts as empty. Null ids come first; rows that share an id are
-    kept, ordered by their frames. An empty table gives an empty store. Other
-    columns are ignored.
+    kept, ordered by their frames. Very long texts are encoded whole, into one
+    frame. An empty table gives an empty store. Other columns are ignored,
+    whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
