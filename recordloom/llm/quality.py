@@ -8,7 +8,10 @@ bins. A linear model minimises the non-negative unbiased risk
 
 with the logistic loss, p being the share of positives among the unlabelled. p
 is estimated from two samples too: the smallest ratio of what a first model
-accepts of the unlabelled to what it accepts of the positives.
+accepts of the unlabelled to what it accepts of the positives. Each part of the
+samples is judged by a model of the other parts. Such cross-fitted values also
+calibrate the scores: slope and shift of the model's values minimise the same
+risk, so the mean score of the unlabelled is p.
 
 The model is fitted on bounded samples (``positives`` and ``unlabelled`` rows
 with the smallest hashes of their ids); every document is scored where it is
@@ -29,6 +32,8 @@ from recordloom.llm.text import texts_of
 
 BINS = 10
 FOLDS, HELD = 4, 2
+PARTS = 5
+CUTS = np.linspace(0.02, 0.25, 24)
 
 #: Kinds of bytes: lower case, upper case, digit, blank, line end, sentence marks, brackets and quotes, other ASCII marks, above ASCII.
 _KIND = np.full(256, 8, np.uint8)
@@ -86,6 +91,7 @@ class Model:
         self.starts = np.cumsum([0] + [len(e) + 1 for e in self.edges])
         self.weights = np.zeros(self.starts[-1])
         self.offset = 0.0
+        self.slope, self.shift = 1.0, 0.0
 
     def bins(self, table: np.ndarray) -> np.ndarray:
         return np.stack(
@@ -99,24 +105,30 @@ class Model:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         table = np.array([describe(t) for t in texts_of(column)], float).reshape(len(column), len(FEATURES))
-        return 1 / (1 + np.exp(-np.clip(self.raw(table), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(table) + self.shift, -30, 30)))
+
+    def gradient(self, places: np.ndarray, n: int, prior: float) -> np.ndarray:
+        """Of the non-negative risk by weights and offset; the first ``n`` rows are the positives.
+
+        Where the second term is negative, it is the gradient that raises that term.
+        """
+        raw = np.clip(self.weights[places].sum(axis=1) + self.offset, -30, 30)
+        high, slope = np.logaddexp(0, raw), 1 / (1 + np.exp(-raw))  # loss as a negative and its derivative
+        pull = np.concatenate([-prior * slope[:n], slope[n:]])
+        if high[n:].mean() >= prior * high[:n].mean():
+            pull[:n] += prior * (slope[:n] - 1)
+        else:
+            pull = -pull
+        pull[:n] /= n
+        pull[n:] /= len(raw) - n
+        return np.append(np.bincount(places.ravel(), np.repeat(pull, places.shape[1]), len(self.weights)), pull.sum())
 
     def fit(self, good: np.ndarray, mixed: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, keep: float = 1e-4):
         """Minimise the non-negative risk by Adam; where its second term is negative, step back on it."""
         places = np.concatenate([self.bins(good), self.bins(mixed)])
-        n, size = len(good), len(self.weights)
-        shares = np.concatenate([np.full(n, 1 / n), np.full(len(mixed), 1 / len(mixed))])
-        first, second = np.zeros(size + 1), np.zeros(size + 1)
+        first, second = np.zeros(len(self.weights) + 1), np.zeros(len(self.weights) + 1)
         for t in range(1, rounds + 1):
-            raw = np.clip(self.weights[places].sum(axis=1) + self.offset, -30, 30)
-            low, high = np.logaddexp(0, -raw), np.logaddexp(0, raw)  # losses as a positive, as a negative
-            slope = 1 / (1 + np.exp(-raw))
-            rest = high[n:].mean() - prior * high[:n].mean()
-            pull = np.concatenate([-prior * slope[:n], slope[n:]])
-            pull *= 1.0 if rest >= 0 else -1.0
-            pull[:n] += prior * (slope[:n] - 1) * (1.0 if rest >= 0 else 0.0)
-            pull *= shares
-            step = np.append(np.bincount(places.ravel(), np.repeat(pull, places.shape[1]), size), pull.sum())
+            step = self.gradient(places, len(good), prior)
             step[:-1] += keep * self.weights
             first, second = 0.9 * first + 0.1 * step, 0.999 * second + 0.001 * step**2
             move = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -125,15 +137,76 @@ class Model:
         return self
 
 
-def estimate_prior(model: Model, good: np.ndarray, mixed: np.ndarray) -> float:
-    """Smallest ratio of the unlabelled to the positives above a cut, over cuts that accept most positives."""
+def ratios(model: Model, good: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """What share of the unlabelled lies above a cut for each positive's share that does, by cuts.
+
+    Cuts accept at least three quarters of the positives: the fewer are accepted, the noisier is a ratio.
+    A cut is one of ``n`` positives itself, so of ``k`` from it on the expected share is k / (n + 1).
+    """
     p, u = np.sort(model.raw(good)), np.sort(model.raw(mixed))
-    ratios = []
-    for share in np.linspace(0.02, 0.5, 25):
-        cut = p[int(share * (len(p) - 1))]
-        above = (p >= cut).mean()
-        ratios.append((u >= cut).mean() / above)
-    return float(np.clip(min(ratios), 0.05, 0.98))
+    cuts = [p[int(share * (len(p) - 1))] for share in CUTS]
+    return np.array([(u >= cut).mean() * (len(p) + 1) / (p >= cut).sum() for cut in cuts])
+
+
+def estimate_prior(model: Model, good: np.ndarray, mixed: np.ndarray) -> float:
+    """The smallest ratio, which is the share of positives where some cut accepts nothing else."""
+    return prior_of([ratios(model, good, mixed)])
+
+
+def prior_of(parts: list[np.ndarray]) -> float:
+    """The smallest of the parts' mean ratios; each part's own smallest would be too small by chance."""
+    return float(np.clip(np.mean(parts, axis=0).min(), 0.05, 0.98))
+
+
+def calibration(good: np.ndarray, mixed: np.ndarray, prior: float, keep: float = 0.01) -> tuple[float, float]:
+    """Slope and shift of values of positives and unlabelled with the least risk, by Newton's steps.
+
+    With the logistic loss the unbiased risk is mean(log(1 + e^x)) of the
+    unlabelled less ``prior`` times the mean of the positives' x: convex, and least
+    by the shift where the unlabelled's mean score is ``prior``. ``keep`` holds the
+    slope near 1, for values that part the classes perfectly would let it grow for ever.
+    """
+    slope, shift = 1.0, 0.0
+    for _ in range(200):
+        share = 1 / (1 + np.exp(-np.clip(slope * mixed + shift, -30, 30)))
+        curve = share * (1 - share)
+        pull = np.array([(share * mixed).mean() - prior * good.mean() + keep * (slope - 1), share.mean() - prior])
+        cross = (curve * mixed).mean()
+        bend = np.array([[(curve * mixed**2).mean() + keep, cross], [cross, curve.mean() + 1e-6]])
+        move = np.linalg.solve(bend, pull)
+        longest = np.abs(move).max()
+        slope, shift = np.array([slope, shift]) - move * min(1.0, 1 / max(longest, 1e-12))
+        if longest < 1e-9:
+            break
+    return float(max(slope, 0.0)), float(shift)
+
+
+def learn(good: np.ndarray, mixed: np.ndarray, good_ids: np.ndarray, mixed_ids: np.ndarray) -> Model:
+    """A model of two samples' statistics, its prior and its calibration cross-fitted.
+
+    A document that is in both samples is in the same part of both. Without rows
+    on a side every value is 1; where some part leaves a side empty, the prior is
+    0.5 and nothing is calibrated.
+    """
+    table = np.concatenate([good, mixed])
+    model = Model(table)
+    if not len(good) or not len(mixed):
+        model.offset = 1.0
+        return model
+    ids, at = np.unique(np.concatenate([good_ids, mixed_ids]), return_inverse=True)
+    part = (np.random.default_rng(9).permutation(len(ids)) % PARTS)[at]  # shuffled: ids may follow a pattern
+    p, u = part[: len(good)], part[len(good) :]
+    if any(not side.any() or side.all() for k in range(PARTS) for side in (p == k, u == k)):
+        return model.fit(good, mixed, 0.5)
+    first = [Model(table).fit(good[p != k], mixed[u != k], 0.5) for k in range(PARTS)]
+    prior = prior_of([ratios(m, good[p == k], mixed[u == k]) for k, m in enumerate(first)])
+    of_good, of_mixed = np.zeros(len(good)), np.zeros(len(mixed))
+    for k in range(PARTS):
+        other = Model(table).fit(good[p != k], mixed[u != k], prior)
+        of_good[p == k], of_mixed[u == k] = other.raw(good[p == k]), other.raw(mixed[u == k])
+    model.fit(good, mixed, prior)
+    model.slope, model.shift = calibration(of_good, of_mixed, prior)
+    return model
 
 
 def _described(docs: DataFrame, schema: str) -> DataFrame:
@@ -172,24 +245,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabelled
     found = _described(rows, "doc_id long, good boolean").orderBy("doc_id", "good", "features").toArrow()
     table = np.array(found.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
     mark = np.array(found.column("good").to_pylist(), bool)
-    p, u = table[mark], table[~mark]
-    model = Model(table)
-    if not len(p) or not len(u):
-        model.offset = 1.0
-        return model
-    priors = []
-    for half in (0, 1):  # each half's ratio by a model of the other half
-        a, b = np.arange(len(p)) % 2 == half, np.arange(len(u)) % 2 == half
-        if a.any() and b.any() and not a.all() and not b.all():
-            priors.append(estimate_prior(Model(table).fit(p[a], u[b], 0.5), p[~a], u[~b]))
-    return model.fit(p, u, float(np.mean(priors)) if priors else 0.5)
+    ids = np.array(found.column("doc_id").to_pylist(), np.int64)
+    return learn(table[mark], table[~mark], ids[mark], ids[~mark])
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, positives: int = 6_000, unlabelled: int = 12_000) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``score``, ``predicted``.
 
-    ``score`` estimates the probability of label 1; ``predicted`` is 1 from
-    ``threshold`` on. Texts alone are scored: no label, language, source or id.
+    ``score`` estimates the probability of label 1, calibrated to the estimated
+    prior; ``predicted`` is 1 from ``threshold`` on. Texts alone are scored: no label, language, source or id.
     Whole texts are described, however long. Null and empty texts get the score of a text whose statistics are all 0.
     Null ids, repeated rows and ties keep their rows. With no positives or no
     documents to compare with, every score is the same, 0.73. Labels that are

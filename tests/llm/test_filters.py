@@ -78,6 +78,135 @@ def test_quality_prior():
     assert abs(quality.estimate_prior(model, good, mixed) - 0.7) < 0.08
 
 
+def plain_risk(raw, n, prior):
+    """The non-negative unbiased risk, row by row."""
+    positive = negative = mixed = 0.0
+    for k, x in enumerate(raw):
+        if k < n:
+            positive += math.log(1 + math.exp(-x)) / n
+            negative += math.log(1 + math.exp(x)) / n
+        else:
+            mixed += math.log(1 + math.exp(x)) / (len(raw) - n)
+    rest = mixed - prior * negative
+    return prior * positive + max(0.0, rest), rest
+
+
+def plain_raw(model, table):
+    """Values of rows by a walk over each statistic's edges."""
+    out = []
+    for row in table:
+        x = model.offset
+        for k, value in enumerate(row):
+            x += model.weights[model.starts[k] + sum(value >= edge for edge in model.edges[k])]
+        out.append(x)
+    return out
+
+
+def test_quality_gradient_against_differences_of_the_risk():
+    rng = np.random.default_rng(4)
+    good, mixed = rng.normal(1, 1, (30, 3)), rng.normal(0, 1.5, (50, 3))
+    both = np.concatenate([good, mixed])
+    signs = set()
+    for scale, prior in ((0.3, 0.4), (0.3, 0.9), (3.0, 0.9)):
+        model = quality.Model(both)
+        model.weights[:], model.offset = rng.normal(0, scale, len(model.weights)), 0.1
+        for a, b in zip(model.starts, model.starts[1:]):
+            model.weights[a:b].sort()
+        found = model.gradient(model.bins(both), len(good), prior)
+        rest = plain_risk(plain_raw(model, both), 30, prior)[1]
+        signs.add(rest >= 0)
+        for k in range(len(found)):
+            sides = []
+            for step in (1e-6, -1e-6):
+                moved = quality.Model(both)
+                moved.weights[:], moved.offset = model.weights, model.offset
+                if k < len(model.weights):
+                    moved.weights[k] += step
+                else:
+                    moved.offset += step
+                risk, rest_there = plain_risk(plain_raw(moved, both), 30, prior)
+                sides.append(risk if rest >= 0 else -rest_there)  # below zero the step is back on the second term
+            assert abs((sides[0] - sides[1]) / 2e-6 - found[k]) < 1e-6
+    assert signs == {True, False}
+
+
+def test_quality_fit_lowers_the_risk_and_steps_back_below_zero():
+    rng = np.random.default_rng(5)
+    good, mixed = rng.normal(1, 1, (200, 3)), np.concatenate([rng.normal(1, 1, (140, 3)), rng.normal(-2, 1, (60, 3))])
+    both = np.concatenate([good, mixed])
+    before, after = quality.Model(both), quality.Model(both).fit(good, mixed, 0.7)
+    assert plain_risk(plain_raw(after, both), 200, 0.7)[0] < 0.8 * plain_risk(plain_raw(before, both), 200, 0.7)[0]
+    assert np.allclose(plain_raw(after, both), after.raw(both))
+
+
+def test_quality_ratios_and_calibration_by_loops():
+    rng = np.random.default_rng(6)
+    truth = rng.random(4000) < 0.8
+    mixed = np.where(truth, rng.normal(2, 1.2, 4000), rng.normal(-1, 1.2, 4000))
+    good = rng.normal(2, 1.2, 3000)
+
+    class Own:
+        raw = staticmethod(lambda x: x)
+
+    found = quality.ratios(Own, good, mixed)
+    ordered = sorted(good)
+    for share, ratio in zip(quality.CUTS, found):
+        cut = ordered[int(share * 2999)]
+        assert abs(ratio - (sum(x >= cut for x in mixed) / 4000) / (sum(x >= cut for x in good) / 3001)) < 1e-12
+    assert quality.prior_of([found, found + 0.1]) == pytest.approx(min(found) + 0.05)
+
+    slope, shift = quality.calibration(good, mixed, 0.8)
+    scores = [1 / (1 + math.exp(-(slope * x + shift))) for x in mixed]
+    assert abs(sum(scores) / 4000 - 0.8) < 1e-6  # the mean score is the prior
+
+    def risk(a, b):
+        return plain_risk([*(a * good + b), *(a * mixed + b)], 3000, 0.8)[1] + 0.8 * sum(
+            math.log(1 + math.exp(-(a * x + b))) for x in good
+        ) / 3000 + 0.005 * (a - 1) ** 2
+
+    least = risk(slope, shift)
+    assert all(risk(slope + da, shift + db) > least for da, db in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)))
+    for low in (0.2, 0.4, 0.6, 0.8):  # scores are shares of positives
+        here = [t for t, x in zip(truth, scores) if low <= x < low + 0.2]
+        assert len(here) < 40 or abs(np.mean(here) - (low + 0.1)) < 0.15
+
+
+def test_quality_query_against_a_plain_walk(spark, labelled):
+    """Samples hold every row here, so the whole operator can be done again without Spark."""
+    docs, labels, rows = labelled
+    mods = crc_mod(spark, 4)
+    texts = {}
+    for i, text in rows:
+        if i is not None:
+            texts[i] = min((x for x in (texts.get(i), text) if x is not None), default=None)
+    known = sorted({r["doc_id"] for r in labels.filter("quality = 1").collect() if r["doc_id"] in texts and mods.get(r["doc_id"]) != 2})
+    p, u = (np.array([quality.describe(texts[i]) for i in ids]) for ids in (known, sorted(texts)))
+    # In the order of the operator's own sample: by id, unlabelled rows first; edges don't depend on it.
+    model = quality.learn(p, u, np.array(known), np.array(sorted(texts)))
+    got = quality.score(docs, labels).collect()
+    want = {}
+    for i, text in rows:
+        x = model.slope * plain_raw(model, [quality.describe(text)])[0] + model.shift
+        want.setdefault(i, []).append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append(r["score"])
+    assert want.keys() == found.keys()
+    for i in want:
+        assert sorted(want[i]) == pytest.approx(sorted(found[i]), abs=1e-9)
+
+
+def test_quality_of_small_samples():
+    rng = np.random.default_rng(8)
+    table = rng.normal(0, 1, (3, 2))
+    none = np.zeros((0, 2))
+    assert set(quality.learn(none, table, np.arange(0), np.arange(3)).raw(table)) == {1.0}
+    few = quality.learn(table, table, np.arange(3), np.arange(3))
+    assert (few.slope, few.shift) == (1.0, 0.0) and np.isfinite(few.raw(table)).all()
+    same = quality.learn(np.ones((9, 2)), np.ones((9, 2)), np.arange(9), np.arange(9))
+    assert np.isfinite([same.slope, same.shift]).all()
+
+
 def test_toxicity_by_neighbours(spark, labelled):
     docs, labels, rows = labelled
     got = toxicity.score(docs, labels).collect()
