@@ -72,7 +72,7 @@ def nested_kmeans(points: np.ndarray, count: int, rounds: int, seed: int) -> np.
 
 
 class Quantiser:
-    """Coarse centres and residual codebooks; its size grows with the lists alone."""
+    """Coarse centres and residual codebooks, broadcast: centres times components, and codebooks of fixed size."""
 
     def __init__(self, units: np.ndarray, lists: int, subspaces: int, codewords: int, seed: int = 7):
         self.centres = nested_kmeans(units, lists, 8, seed)
@@ -81,11 +81,12 @@ class Quantiser:
         edges = np.linspace(0, units.shape[1], min(subspaces, units.shape[1]) + 1).astype(int)
         self.spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
         self.books = [kmeans(residuals[:, a:b], codewords, 8, seed + k) for k, (a, b) in enumerate(self.spans)]
-        self.apart = np.sqrt(np.maximum(self._squares(self.centres), 1e-18))
 
-    def _squares(self, points: np.ndarray) -> np.ndarray:
-        out = (points**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * points @ self.centres.T
-        return np.maximum(out, 0)
+    def _apart(self, own: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Distances of some centres (rows) and others; counted when asked, for all pairs of lists would outgrow the model."""
+        a, b = self.centres[own], self.centres[lists]
+        squares = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T
+        return np.sqrt(np.maximum(squares, 1e-18))
 
     def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and lost length of each vector."""
@@ -99,7 +100,8 @@ class Quantiser:
         """Which of some lists each vector has to visit: those whose bisector lies within ``reach``."""
         centres = self.centres[lists]
         ahead = ((centres**2).sum(axis=1) - 2 * units @ centres.T) - self._ahead(units, own)[:, None]
-        return ahead <= 2 * reach * self.apart[np.ix_(own, lists)] + 1e-9
+        used, at = np.unique(own, return_inverse=True)
+        return ahead <= 2 * reach * self._apart(used, lists)[at] + 1e-9
 
     def reach(self, units: np.ndarray, distance: float, recall: float, seed: int = 3) -> float:
         """How far past bisectors the share ``recall`` of links from these vectors reaches.

@@ -1,5 +1,6 @@
 """Similarity joins against brute force."""
 
+import pickle
 import random
 
 import numpy as np
@@ -235,3 +236,27 @@ def test_table_distances_are_distances_to_the_codes():
     assert np.allclose(np.linalg.norm(units - kept, axis=1), lost)
     exact = ((units[:20, None] - kept[None]) ** 2).sum(axis=2)
     assert np.allclose(model.table_distances(units[:20], own, codes), exact)
+
+
+def test_the_model_grows_with_the_lists_and_not_with_their_pairs():
+    rng = np.random.default_rng(21)
+    units = rng.normal(0, 1, (5000, 16))
+    units /= np.sqrt((units**2).sum(axis=1))[:, None]
+    sizes = [len(pickle.dumps(Quantiser(units, lists, 4, 16))) for lists in (500, 1000, 2000)]
+    assert all(b <= 2.2 * a for a, b in zip(sizes, sizes[1:]))
+
+
+def test_probed_lists_are_those_whose_bisector_is_in_reach():
+    rng = np.random.default_rng(22)
+    units = rng.normal(0, 1, (300, 8))
+    units /= np.sqrt((units**2).sum(axis=1))[:, None]
+    model = Quantiser(units, 20, 4, 16)
+    own = embedding_dedup.nearest_of(units, model.centres)
+    lists = np.array([1, 4, 7, 19])
+    got = model.probes(units, own, lists, 0.2)
+    for k, x in enumerate(units):
+        for at, other in enumerate(lists):
+            a, b = model.centres[own[k]], model.centres[other]
+            past = (((x - b) ** 2).sum() - ((x - a) ** 2).sum()) / (2 * max(np.sqrt(((a - b) ** 2).sum()), 1e-9))
+            if abs(past - 0.2) > 1e-6:
+                assert got[k, at] == (past <= 0.2)
