@@ -139,12 +139,11 @@ class Scorer:
         self.index, self.neighbours, self.without_terms = index, neighbours, without_terms
         self.base = shares[1] / max(1e-9, sum(shares))
         self.slope, self.shift = 4.0, -2.0
-        votes = [
-            self._vote(*(x[f != k] for x in (f, c)))
-            for k, (t, w) in enumerate(index.vectors)
-            for f, c in [index.nearest(t, w, neighbours + 1)]
-        ]
-        self._calibrate(np.array(votes), index.labels, shares)
+
+    def vote_without(self, k: int) -> float:
+        """The vote on example ``k`` of all others."""
+        found, cosines = self.index.nearest(*self.index.vectors[k], self.neighbours + 1)
+        return self._vote(found[found != k], cosines[found != k])
 
     def _vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         found, cosines = found[: self.neighbours], cosines[: self.neighbours]
@@ -152,7 +151,7 @@ class Scorer:
         pull = cosines / (1.05 - np.minimum(cosines, 1))
         return float(((pull * self.index.labels[found]).sum() + 0.1 * self.base) / (pull.sum() + 0.1))
 
-    def _calibrate(self, votes: np.ndarray, labels: np.ndarray, shares: tuple[float, float]) -> None:
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray, shares: tuple[float, float]) -> None:
         """Logistic fit of labels on votes, classes weighted as among all labelled rows; Newton's steps."""
         sizes = np.bincount(labels, minlength=2)
         if not sizes.all():
@@ -194,7 +193,10 @@ def _examples(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int, neighbours: int) -> tuple[list[str], Scorer]:
-    """Terms and scorer; the driver receives the words of at most ``2 * per_label`` examples."""
+    """Terms and scorer; the driver receives the words of at most ``2 * per_label`` examples.
+
+    The examples' votes without themselves, for the calibration, are taken in tasks.
+    """
     examples, known = _examples(docs, labels, per_label)
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -249,10 +251,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int, neighbours: int) ->
     index = Index(ids, marks, tallies, scale)
     shares = (float(totals.get(0, 0)), float(totals.get(1, 0)))
     bare = [sum(not len(t) and m == k for (t, _), m in zip(tallies, marks)) * shares[k] / max(1, sizes.get(k, 0)) for k in (0, 1)]
-    return terms, Scorer(index, neighbours, shares, (bare[1] + 0.5) / (sum(bare) + 2))
+    scorer = Scorer(index, neighbours, shares, (bare[1] + 0.5) / (sum(bare) + 2))
+    raw = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [raw.value.vote_without(k) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["k", "vote"])
+
+    spread = docs.sparkSession.range(0, len(index.ids), 1, -(-len(index.ids) // 256) or 1)
+    cast = spread.mapInArrow(votes, "k long, vote double").orderBy("k").toArrow()  # one number an example
+    scorer.calibrate(cast.column("vote").to_numpy(), index.labels, shares)
+    raw.unpersist()
+    shared.unpersist()
+    return terms, scorer
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 1_000, neighbours: int = 15) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 4_000, neighbours: int = 15) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``score``, ``predicted``, ``evidence``.
 
     ``score`` estimates the probability of label 1, ``predicted`` is 1 from
@@ -284,7 +299,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 1_000, neighbours: int = 15) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 4_000, neighbours: int = 15) -> DataFrame:
     """The rows of ``docs`` that :func:`score` predicts as 0, with all columns; no shuffle.
 
     Every row is judged by its own text: null ids and repeated rows stay or go
