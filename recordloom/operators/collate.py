@@ -64,8 +64,8 @@ def collate(
     become text then; a null key stays apart from ``ALL``). Without keys there
     is one group; an empty table has none at all. ``by`` are keys ahead of the others.
 
-    Ranks are found among the counted values of all groups, numbered together,
-    so no group's values meet in one list or task.
+    Ranks are found among the counted values of all groups, dealt to ranges
+    together, so no group's values meet in one list or task.
     """
     found = _keys(df, [*by, *keys])
     names = [n for n, _, _ in found]
@@ -132,16 +132,23 @@ def collate(
 def _up_to(counted: DataFrame, keys: list[str]) -> DataFrame:
     """Counted values with ``upto``, the records of their group up to them, and ``all``, those of the group.
 
-    A running sum over the values of all groups in order, less what lies before the group.
+    Values of all groups are dealt to ranges together and stored once, so a
+    group of many values lies in several ranges. A range's values of a group are
+    summed up there; what lies before comes from the ranges' totals, one row a
+    group and range.
     """
-    rows = running(numbered(counted.select(*keys, "s", "ct"), [*keys, "s"]), F.col("ct"), "_sum").drop(PLACE)
-    groups = rows.groupBy(*keys).agg(F.min(F.col("_sum") - F.col("ct")).alias("_from"), F.sum("ct").alias("all"))
-    if keys:
-        groups = groups.toDF(*[f"_g{c}" if c in keys else c for c in groups.columns])
-        rows = rows.join(groups, reduce(lambda a, b: a & b, [rows[c].eqNullSafe(groups[f"_g{c}"]) for c in keys]))
-    else:
-        rows = rows.crossJoin(groups)  # one row
-    return rows.select(*keys, "s", "ct", (F.col("_sum") - F.col("_from")).alias("upto"), "all")
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = counted.select(*keys, "s", "ct").repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in [*keys, "s"]])
+    held = keep(ranges.withColumn("_range", F.spark_partition_id()), "ranked")
+    totals = held.groupBy("_range", *keys).agg(F.sum("ct").alias("_here"))
+    group = Window.partitionBy(*keys)
+    before = F.sum("_here").over(group.orderBy("_range")) - F.col("_here")
+    totals = totals.select("*", before.alias("_from"), F.sum("_here").over(group).alias("all")).drop("_here")
+    totals = totals.toDF(*[f"_g{c}" if c in keys else c for c in totals.columns]).withColumnRenamed("_range", "_part")
+    inside = Window.partitionBy("_range", *keys).orderBy("s")
+    rows = held.withColumn("_sum", F.sum("ct").over(inside))
+    match = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(totals[f"_g{c}"]) for c in keys], rows["_range"] == totals["_part"])
+    return rows.join(totals, match).select(*keys, "s", "ct", (F.col("_sum") + F.col("_from")).alias("upto"), "all")
 
 
 def _over(df: DataFrame, made: list[tuple[str, Aggregate]], over) -> DataFrame:

@@ -167,3 +167,14 @@ def test_percentiles_by_group_and_cube(spark):
     assert got["n", "x"] == (None, {}, None)
     high = [("h", domain.subset("{{x}} > 1", domain.named("percentile", "50", "x"))), ("p", domain.named("percentile", "50", "x"))]
     assert {r["k"]: (r["h"], r["p"]) for r in collate(frame, ["k"], high).collect()} == {"a": (3.0, 2.0), "b": (None, 0.0), "n": (None, None)}
+
+
+def test_percentiles_of_a_group_over_many_ranges(spark):
+    groups = ["hot"] * 4_500 + [None] * 250 + ["a", "b", "c", "d", "e"] * 50
+    rows = [(g, float((k * 7_919) % 3_001)) for k, g in enumerate(groups)]
+    got = collate(spark.createDataFrame(rows, "g string, x double"), ["g"], [f"p{p}=perc,{p},x" for p in (0, 37, 50, 99)]).collect()
+    assert len(got) == 7
+    for row in got:
+        values = sorted(x for g, x in rows if g == row["g"])
+        for p in (0, 37, 50, 99):
+            assert row[f"p{p}"] == values[min(len(values) * p // 100, len(values) - 1)], (row["g"], p)
