@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int, neighbours: int) ->
     return terms, scorer
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 4_000, neighbours: int = 15) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 2_000, neighbours: int = 15) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``score``, ``predicted``, ``evidence``.
 
     ``score`` estimates the probability of label 1, ``predicted`` is 1 from
@@ -299,7 +299,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 4_000, neighbours: int = 15) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 2_000, neighbours: int = 15) -> DataFrame:
     """The rows of ``docs`` that :func:`score` predicts as 0, with all columns; no shuffle.
 
     Every row is judged by its own text: null ids and repeated rows stay or go
